@@ -1,0 +1,93 @@
+"""The queries of the training-data operators, over whole tables, and their SQL."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chainsieve.llm import encode, pairs, repetition, topn
+from chainsieve.sources.tables import table
+
+#: Where the public vocabularies lie.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", encode.TOKENIZERS)
+#: Share of repeated content from which on a generation counts as repetitive.
+REPEATED = 0.42
+#: Chains kept per question and teacher.
+BEST = 2
+
+
+def _ranks(name: str = "byte_bpe_50k.tiktoken") -> dict[bytes, int]:
+    return encode.read_ranks(os.path.join(TOKENIZERS, name))
+
+
+def p1_profile(spark: SparkSession, root: str) -> DataFrame:
+    """Encoding measures and repeated share of every generation."""
+    return repetition.repetition_profile(table(spark, root, "eval"), ["gen_id", "n_tokens"], "text", _ranks()).distinct()
+
+
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """Generations that say the same thing over and over."""
+    profile = repetition.repetition_profile(table(spark, root, "eval"), ["gen_id"], "text", _ranks())
+    return profile.where(F.col("rejected") & (F.col("repeated_share") >= REPEATED)).select("gen_id").distinct()
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Generations that are no proper answer to their question, with the defect."""
+    return pairs.pair_defects(table(spark, root, "eval"), "gen_id", "question", "text")
+
+
+def p2_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Number of generations by defect."""
+    return pairs.defect_counts(p2_found(spark, root))
+
+
+def _best(spark: SparkSession, root: str) -> DataFrame:
+    chains = table(spark, root, "candidates", "tid", "qid", "teacher").dropna()
+    owner = chains.groupBy("tid").agg(F.max(F.struct("qid", "teacher")).alias("_o"))
+    scores = topn.latest(table(spark, root, "fit", "tid", "ts", "grape"), "tid", "ts", "grape")
+    joined = owner.select("tid", "_o.qid", "_o.teacher").join(scores, "tid")
+    return topn.top_n(joined, ["qid", "teacher"], F.col("grape"), "tid", BEST, repeated=False)
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """The best-fitting chains of every question and teacher."""
+    return _best(spark, root).select("tid")
+
+
+def p5_top(spark: SparkSession, root: str) -> DataFrame:
+    """The same chains with their score and place."""
+    return _best(spark, root).withColumnRenamed("score", "grape")
+
+
+def p8_ids(spark: SparkSession, root: str) -> DataFrame:
+    """Every document as a list of token ids."""
+    return encode.encode_ids(table(spark, root, "documents"), "doc_id", "text", _ranks())
+
+
+_BEST_SQL = f"""
+with last as (
+  select tid, grape from (
+    select tid, grape, row_number() over (partition by tid order by ts desc, grape desc nulls last) as k
+    from fit where tid is not null) where k = 1),
+owner as (select distinct tid, qid, teacher from candidates
+          where tid is not null and qid is not null and teacher is not null),
+placed as (
+  select o.qid, o.teacher, o.tid, l.grape,
+         cast(row_number() over (partition by o.qid, o.teacher order by l.grape desc, o.tid) as integer) as place
+  from owner o join last l on o.tid = l.tid
+  where l.grape is not null and not isnan(l.grape))
+select {{columns}} from placed where place <= {BEST}
+"""
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in (p1_profile, p1_found, p2_found, p2_counts, p5_found, p5_top, p8_ids)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p5_found": _BEST_SQL.format(columns="tid"),
+        "p5_top": _BEST_SQL.format(columns="qid, teacher, tid, grape, place"),
+    }
