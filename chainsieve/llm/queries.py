@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainsieve.llm import encode, pairs, repetition, topn
+from chainsieve.llm import bagminhash, crosssplit, encode, pairs, repetition, topn
 from chainsieve.sources.tables import table
 
 #: Where the public vocabularies lie.
@@ -43,6 +43,63 @@ def p2_counts(spark: SparkSession, root: str) -> DataFrame:
     return pairs.defect_counts(p2_found(spark, root))
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of chains, and of questions, that are light reworkings of one another."""
+    found = None
+    for name, key, text in (("candidates", "tid", "text"), ("questions", "qid", "question")):
+        near = bagminhash.near_duplicate_pairs(table(spark, root, name, key, text), key, text)
+        part = near.select(F.lit(name).alias("tbl"), "id_a", "id_b")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def p4_groups(spark: SparkSession, root: str) -> DataFrame:
+    """Every chain with its near-duplicate class and the number of its links in it."""
+    chains = table(spark, root, "candidates", "tid", "text")
+    return bagminhash.near_duplicate_classes(chains, "tid", "text")
+
+
+def _splits(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    held = table(spark, root, "eval", "benchmark", "qid", "question").withColumnRenamed("qid", "eval_qid")
+    pool = table(spark, root, "questions", "source", "qid", "question").withColumnRenamed("qid", "train_qid")
+    return held, pool
+
+
+_KEEP = (["eval_qid", "benchmark"], ["train_qid", "source"])
+
+
+def p6_overlap(spark: SparkSession, root: str) -> DataFrame:
+    """Held-out questions that also stand, exactly or almost, in the training pool, with their splits."""
+    return crosssplit.cross_split(*_splits(spark, root), "question", _KEEP)
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """The pairs of held-out and training questions."""
+    return p6_overlap(spark, root).select("eval_qid", "train_qid").distinct()
+
+
+def p6_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Number of overlapping pairs, held-out and training questions by benchmark and source."""
+    return (
+        p6_overlap(spark, root)
+        .groupBy("benchmark", "source")
+        .agg(
+            F.count(F.lit(1)).alias("n_pairs"),
+            F.count_distinct("eval_qid").alias("n_eval"),
+            F.count_distinct("train_qid").alias("n_train"),
+        )
+    )
+
+
+def p6_exact_counts(spark: SparkSession, root: str) -> DataFrame:
+    """The same numbers for texts that are equal after normalisation."""
+    return (
+        crosssplit.exact_overlap(*_splits(spark, root), "question", _KEEP)
+        .groupBy("benchmark", "source")
+        .agg(F.count(F.lit(1)).alias("n_pairs"))
+    )
+
+
 def _best(spark: SparkSession, root: str) -> DataFrame:
     chains = table(spark, root, "candidates", "tid", "qid", "teacher").dropna()
     owner = chains.groupBy("tid").agg(F.max(F.struct("qid", "teacher")).alias("_o"))
@@ -82,12 +139,29 @@ select {{columns}} from placed where place <= {BEST}
 """
 
 
+_EXACT_SQL = r"""
+with e as (select distinct benchmark, qid, trim(regexp_replace(lower(question), '[^\p{L}\p{N}]+', ' ', 'g')) as canon
+           from eval where question is not null),
+t as (select distinct source, qid, trim(regexp_replace(lower(question), '[^\p{L}\p{N}]+', ' ', 'g')) as canon
+      from questions where question is not null)
+select benchmark, source, count(*) as n_pairs from (
+  select distinct e.qid as eval_qid, benchmark, t.qid as train_qid, source
+  from e join t on e.canon = t.canon where e.canon <> '')
+group by benchmark, source
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_profile, p1_found, p2_found, p2_counts, p5_found, p5_top, p8_ids)}
+    found = (
+        p1_profile, p1_found, p2_found, p2_counts, p4_found, p4_groups, p5_found, p5_top, p6_found, p6_overlap,
+        p6_counts, p6_exact_counts, p8_ids,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p5_found": _BEST_SQL.format(columns="tid"),
+        "p6_exact_counts": _EXACT_SQL,
         "p5_top": _BEST_SQL.format(columns="qid, teacher, tid, grape, place"),
     }
