@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainsieve.llm import bagminhash, crosssplit, encode, pairs, repetition, topn
+from chainsieve.llm import bagminhash, crosssplit, encode, leaks, pairs, repetition, stuffing, topn
 from chainsieve.sources.tables import table
 
 #: Where the public vocabularies lie.
@@ -123,6 +123,31 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode.encode_ids(table(spark, root, "documents"), "doc_id", "text", _ranks())
 
 
+def p9_passages(spark: SparkSession, root: str) -> DataFrame:
+    """Every leaked passage: document, item, part, character offsets and matched words."""
+    pages, items = table(spark, root, "documents"), table(spark, root, "eval_items")
+    return leaks.leaked_passages(pages, "doc_id", "text", items, "item_id", ["question", "solution"])
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with the held-out items that leaked into them."""
+    return p9_passages(spark, root).select("doc_id", "item_id").distinct()
+
+
+def _shares(spark: SparkSession, root: str) -> DataFrame:
+    return stuffing.page_shares(table(spark, root, "documents"), "doc_id", "text", "url", "source")
+
+
+def p10_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Linked, listed and stuffed share of every page with list evidence."""
+    return _shares(spark, root)
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pages that are heaps of keywords, links or product tags."""
+    return _shares(spark, root).where(F.col("stuffed_share") >= stuffing.STUFFED).select("doc_id")
+
+
 _BEST_SQL = f"""
 with last as (
   select tid, grape from (
@@ -154,7 +179,7 @@ group by benchmark, source
 def queries() -> dict:
     found = (
         p1_profile, p1_found, p2_found, p2_counts, p4_found, p4_groups, p5_found, p5_top, p6_found, p6_overlap,
-        p6_counts, p6_exact_counts, p8_ids,
+        p6_counts, p6_exact_counts, p8_ids, p9_passages, p9_found, p10_shares, p10_found,
     )
     return {f.__name__: f for f in found}
 
