@@ -7,7 +7,18 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainsieve.llm import bagminhash, crosssplit, encode, leaks, pairs, repetition, stuffing, topn
+from chainsieve.llm import (
+    bagminhash,
+    crosssplit,
+    encode,
+    leaks,
+    outranking,
+    pairs,
+    repetition,
+    stuffing,
+    topn,
+    varied,
+)
 from chainsieve.sources.tables import table
 
 #: Where the public vocabularies lie.
@@ -43,6 +54,14 @@ def p2_counts(spark: SparkSession, root: str) -> DataFrame:
     return pairs.defect_counts(p2_found(spark, root))
 
 
+def p3_ranking(spark: SparkSession, root: str) -> DataFrame:
+    """One ranking of the chains of each question from fit and quality, neither outweighing the other."""
+    scores = topn.latest(table(spark, root, "fit", "tid", "qid", "ts", "grape"), "tid", "ts", "qid", "grape")
+    judged = table(spark, root, "quality", "tid", "qual").groupBy("tid").agg(F.max("qual").alias("qual"))
+    both = scores.join(judged, "tid", "left")
+    return outranking.net_flows(both, "qid", "tid", {"grape": 0.5, "qual": 0.5})
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of chains, and of questions, that are light reworkings of one another."""
     found = None
@@ -118,6 +137,11 @@ def p5_top(spark: SparkSession, root: str) -> DataFrame:
     return _best(spark, root).withColumnRenamed("score", "grape")
 
 
+def p7_subset(spark: SparkSession, root: str) -> DataFrame:
+    """A twentieth of all chains that shows the variety of texts and teachers."""
+    return varied.varied_subset(table(spark, root, "candidates", "tid", "qid", "teacher", "text"))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     """Every document as a list of token ids."""
     return encode.encode_ids(table(spark, root, "documents"), "doc_id", "text", _ranks())
@@ -134,18 +158,14 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return p9_passages(spark, root).select("doc_id", "item_id").distinct()
 
 
-def _shares(spark: SparkSession, root: str) -> DataFrame:
-    return stuffing.page_shares(table(spark, root, "documents"), "doc_id", "text", "url", "source")
-
-
 def p10_shares(spark: SparkSession, root: str) -> DataFrame:
     """Linked, listed and stuffed share of every page with list evidence."""
-    return _shares(spark, root)
+    return stuffing.page_shares(table(spark, root, "documents"), "doc_id", "text", "url", "source")
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     """Pages that are heaps of keywords, links or product tags."""
-    return _shares(spark, root).where(F.col("stuffed_share") >= stuffing.STUFFED).select("doc_id")
+    return stuffing.stuffed_pages(table(spark, root, "documents"), "doc_id", "text", "url", "source")
 
 
 _BEST_SQL = f"""
@@ -164,6 +184,32 @@ select {{columns}} from placed where place <= {BEST}
 """
 
 
+_FLOW_SQL = f"""
+with last as (
+  select tid, qid, grape from (
+    select tid, qid, grape, row_number() over (partition by tid order by ts desc, qid desc, grape desc nulls last) as k
+    from fit where tid is not null) where k = 1),
+judged as (select tid, max(qual) as qual from quality where tid is not null group by tid),
+chains as (select l.tid, l.qid, l.grape, j.qual from last l left join judged j on l.tid = j.tid where l.qid is not null),
+long as (
+  select qid, tid, 'grape' as s, case when isnan(grape) then null else grape end as v from chains
+  union all select qid, tid, 'qual', case when isnan(qual) then null else qual end from chains),
+placed as (
+  select *, (rank() over w - 1 + count(*) over (partition by qid, s, v) / 2.0) / count(*) over (partition by qid, s) as x,
+         count(*) over (partition by qid, s) as n
+  from long where v is not null window w as (partition by qid, s order by v)),
+flows as (
+  select a.qid, a.s, a.tid,
+         sum(greatest(0, least(1, (a.x - b.x - {outranking.INDIFFERENT}) / ({outranking.FULL - outranking.INDIFFERENT})))
+           - greatest(0, least(1, (b.x - a.x - {outranking.INDIFFERENT}) / ({outranking.FULL - outranking.INDIFFERENT}))))
+         / greatest(max(a.n) - 1, 1) as f
+  from placed a join placed b on a.qid = b.qid and a.s = b.s group by a.qid, a.s, a.tid),
+combined as (
+  select l.qid, l.tid, round(sum(0.5 * coalesce(f.f, 0.0)) + 1e-12, {outranking.DECIMALS}) as flow
+  from long l left join flows f on l.qid = f.qid and l.s = f.s and l.tid = f.tid group by l.qid, l.tid)
+select qid, tid, flow, row_number() over (partition by qid order by flow desc, tid) as place from combined
+"""
+
 _EXACT_SQL = r"""
 with e as (select distinct benchmark, qid, trim(regexp_replace(lower(question), '[^\p{L}\p{N}]+', ' ', 'g')) as canon
            from eval where question is not null),
@@ -178,8 +224,8 @@ group by benchmark, source
 
 def queries() -> dict:
     found = (
-        p1_profile, p1_found, p2_found, p2_counts, p4_found, p4_groups, p5_found, p5_top, p6_found, p6_overlap,
-        p6_counts, p6_exact_counts, p8_ids, p9_passages, p9_found, p10_shares, p10_found,
+        p1_profile, p1_found, p2_found, p2_counts, p3_ranking, p4_found, p4_groups, p5_found, p5_top, p6_found, p6_overlap,
+        p6_counts, p6_exact_counts, p7_subset, p8_ids, p9_passages, p9_found, p10_shares, p10_found,
     )
     return {f.__name__: f for f in found}
 
@@ -187,6 +233,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "p5_found": _BEST_SQL.format(columns="tid"),
+        "p3_ranking": _FLOW_SQL,
         "p6_exact_counts": _EXACT_SQL,
+        "p7_subset": varied.SQL,
         "p5_top": _BEST_SQL.format(columns="qid, teacher, tid, grape, place"),
     }

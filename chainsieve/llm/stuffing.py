@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from chainsieve.llm.pairs import FUNCTION_WORDS, fold
 from chainsieve.session import checkpoint_dir
 
-#: Share of a page from which it counts as stuffed: pages of sentences stay below a
-#: quarter.  A listed phrase counts from so many hosts on, or so many times on one page.
-STUFFED, HOSTS, TIMES = 0.42, 2, 3
+#: Listed share of a page from which it counts as stuffed (pages of sentences stay below
+#: a third), and the part of it that must be links or phrases that count.  A listed phrase
+#: counts from so many hosts on, or so many times on one page.
+STUFFED, CONFIRMED, HOSTS, TIMES = 0.42, 0.4, 2, 3
 #: A phrase that makes up more than this share of all listed phrases is joined apart.
 HOT = 1e-4
 
@@ -85,8 +86,8 @@ def line_evidence(line: str, pairs: Counter) -> tuple[str, int, list[str]]:
 def page_evidence(text: str) -> tuple[int, int, int, dict[tuple[str, ...], tuple[int, int]]]:
     """Characters, linked and listed characters of a page, and its listed phrases.
 
-    A phrase is a pair of neighbouring listed words, or the only word of a line; it
-    comes with the characters it stands for and how often it stands there.
+    A phrase is a pair of neighbouring listed words, or the only word of a line, with
+    numbers read alike; it comes with the characters it stands for and how often it stands there.
     """
     if "<" in text:
         text = _MARKUP.sub(" ", text) if not _LINK.search("".join(_MARKUP.findall(text))) else text
@@ -103,6 +104,7 @@ def page_evidence(text: str) -> tuple[int, int, int, dict[tuple[str, ...], tuple
             continue
         rest = _size(line) - links
         listed += rest
+        found = ["0" if w.isdigit() else w for w in found]
         shingles = list(zip(found, found[1:])) or [(found[0],)]
         for p in shingles:
             size, times = phrases.get(p, (0, 0))
@@ -175,3 +177,10 @@ def page_shares(df: DataFrame, key: str, text: str, url: str, source: str) -> Da
         share(F.col("linked") + F.col("listed")).alias("listed_share"),
         share(F.col("linked") + F.coalesce("counted", F.lit(0.0))).alias("stuffed_share"),
     )
+
+
+def stuffed_pages(df: DataFrame, key: str, text: str, url: str, source: str) -> DataFrame:
+    """``key`` of the pages that are mostly lists of links, tags and phrases replicated elsewhere."""
+    shares = page_shares(df, key, text, url, source)
+    dense = F.col("listed_share") >= STUFFED
+    return shares.where(dense & (F.col("stuffed_share") >= CONFIRMED * F.col("listed_share"))).select(key)
