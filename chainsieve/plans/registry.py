@@ -30,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    raise NotImplementedError
+    from chainsieve.plans import selection
+
+    return selection.flagship(spark, root)
