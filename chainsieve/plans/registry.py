@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from chainsieve.plans import selection
+    from chainsieve.plans import evaluation, selection
 
-    return [selection]
+    return [selection, evaluation]
 
 
 def queries() -> dict[str, Query]:
