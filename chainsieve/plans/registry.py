@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from chainsieve.plans import evaluation, selection
+    from chainsieve.plans import evaluation, selection, textual
 
-    return [selection, evaluation]
+    return [selection, evaluation, textual]
 
 
 def queries() -> dict[str, Query]:
