@@ -46,7 +46,7 @@ def features(text: Column, keywords: dict[str, list[str]] = KEYWORDS) -> dict[st
 
 def repeat_share(text: Column, least_chars: int = 12, least_lines: int = 4) -> Column:
     """Share of repeated lines among those of at least ``least_chars``; 0 with fewer than ``least_lines``."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: F.length(s) >= least_chars)
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: F.length(s) >= least_chars)
     n = F.size(lines)
     return F.when(n < least_lines, 0.0).otherwise(1 - F.size(F.array_distinct(lines)) / F.nullif(n, F.lit(0)))
 
