@@ -52,8 +52,8 @@ def whole_groups(df: DataFrame, group: str, n: int) -> DataFrame:
 
 def equal_per_group(df: DataFrame, item: str, group: str, n: int) -> DataFrame:
     """``max(1, n // groups)`` of every group by hashed order, then the first ``n`` of all."""
-    groups = df.select(F.count_distinct(group).alias("g"))
-    each = F.greatest(F.lit(1), F.floor(F.lit(n) / F.greatest(F.col("g"), F.lit(1)))).cast("int")
+    groups = df.select(F.count_distinct(group).alias("_groups"))
+    each = F.greatest(F.lit(1), F.floor(F.lit(n) / F.greatest(F.col("_groups"), F.lit(1)))).cast("int")
     w = Window.partitionBy(group).orderBy(hashed(item), item)
     taken = df.withColumn("_rn", F.row_number().over(w)).crossJoin(F.broadcast(groups)).where(F.col("_rn") <= each)
-    return taken.drop("_rn", "g").orderBy(hashed(item), item).limit(n)
+    return taken.drop("_rn", "_groups").orderBy(hashed(item), item).limit(n)

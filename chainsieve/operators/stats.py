@@ -82,7 +82,8 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     p = hits / m
     centre = (p + z * z / (2 * m)) / (1 + z * z / m)
     half = z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m)) / (1 + z * z / m)
-    return F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
+    low, high = F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
+    return F.when(m.isNotNull(), low), F.when(m.isNotNull(), high)
 
 
 def auc(df: DataFrame, score: str, label: str, *group: str) -> DataFrame:
