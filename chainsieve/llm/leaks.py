@@ -17,6 +17,8 @@ MATCHED, FOUND = 19, 2
 #: Words of a pattern and distance of two patterns.  A passage of 25 words with three
 #: of them changed has six words in a row unchanged, which hold a whole pattern or two.
 PATTERN, STRIDE = 4, 2
+#: Words that may be changed, added or left out in one place of a passage.
+DRIFT = 5
 #: A pattern that stands in more texts of test material than this is lengthened word by
 #: word; a run of ``STOCK`` words that still does is a stock instruction and tells nothing.
 COMMON, STOCK = 4, 8
@@ -122,20 +124,18 @@ def longest_passage(
 ) -> tuple[int, int, int, int] | None:
     """(first, last word in the text, words spanned, words matched) of the best passage.
 
-    Every hit is extended to both sides word by word; a word may be changed, left
-    out or added, as long as no more than ``CHANGED`` of the words of the passage
-    and no more than three in a row differ.  ``weight`` is the number of words a
+    Every hit is extended to both sides word by word, the extensions are joined; a
+    word may be changed, left out or added, as long as no more than ``CHANGED`` of
+    the words of the passage and no more than ``DRIFT`` in a row differ.  ``weight`` is the number of words a
     place of the part counts for, 0 for stock words.
     """
-    best = None
-    seen: set[tuple[int, int]] = set()
+    found: set[tuple[int, int]] = set()
     for i, k in hits:
-        if (i, k) in seen:
-            continue
-        pairs = _extend(text, part, i, k, 1) + _extend(text, part, i - 1, k - 1, -1)
-        seen.update(pairs)
-        pairs.sort()
-        kept = _densest([p for p in pairs if weight[p[1]]])
+        if (i, k) not in found:
+            found.update(_extend(text, part, i, k, 1), _extend(text, part, i - 1, k - 1, -1))
+    best = None
+    for stretch in _stretches(sorted(found)):
+        kept = _densest([p for p in stretch if weight[p[1]]])
         if not kept:
             continue
         matched = sum(weight[k] for _, k in kept)
@@ -144,6 +144,22 @@ def longest_passage(
     return best
 
 
+def _stretches(pairs: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Matched places cut where the two sides drift apart; within one both only go forward."""
+    current: list[tuple[int, int]] = []
+    for i, k in pairs:
+        if current:
+            a, b = current[-1]
+            if i == a or k <= b and abs((i - k) - (a - b)) <= DRIFT:
+                continue
+            if abs((i - k) - (a - b)) > DRIFT or i - a > DRIFT + 1:
+                yield current
+                current = []
+        current.append((i, k))
+    if current:
+        yield current
+
+
 def _extend(text: tuple[int, ...], part: list[int], i: int, k: int, step: int) -> list[tuple[int, int]]:
     """Matched places from (i, k) on in one direction, passing over gaps of up to two words a side."""
     out = []

@@ -35,6 +35,7 @@ _WORD = re.compile(r"[^\W_]+")
 _FORMULA = re.compile(r"[=\\${}^*+]|\b(?:def|return|import|for|while|if)\b.*:|\)\s*;?\s*$.*\(|\w\(\w*\)")
 _COUNT = re.compile(r"\s*\(\d+\)\s*$")
 _SENTENCE_END = re.compile(r"[.?!:;。！？]\W*$")
+_FULL_STOP = re.compile(r"(?:([。？])|[.?])\W*$")
 _TRAIL = re.compile(r"\s(?:>|»|›|::|→|/)\s.*\s(?:>|»|›|::|→|/)\s")
 _SPLIT = re.compile(r"[,;|•·]+|!{2,}|\*{2,}|\s[-–—>»]\s")
 _ENGLISH = frozenset(FUNCTION_WORDS["en"].split()) | frozenset("an a all some every most these those one because about".split())
@@ -68,7 +69,8 @@ def line_evidence(line: str, pairs: Counter) -> tuple[str, int, list[str]]:
         entry = functional < SENTENCE and not _SENTENCE_END.search(line) and not _FORMULA.search(_COUNT.sub("", line))
         if entry or rest.count("|") >= 2 or _TRAIL.search(rest):
             return "item", linked, found
-    if functional < 0.2:
+    stop = _FULL_STOP.search(line)
+    if functional < (0.2 if stop is None else 0.05 if stop.group(1) is None else 0):
         again = [pairs[p] >= TIMES for p in zip(found, found[1:])]
         if sum(a or b for a, b in zip([*again, False], [False, *again])) * 2 > len(found):
             return "repeat", linked, found
