@@ -69,7 +69,7 @@ def test_hot_bucket_leaves_a_batch_as_one_row():
 
     batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(["one and the same text of eight words"] * 500)], names=["node", "text"])
     (out,) = B._bucket_rows(B.BANDS, B.ROWS)([batch])
-    tie = np.array(out.column(3))
+    tie = np.array(out.column(3))[: -500]
     assert (~tie).sum() == B.BANDS and tie.sum() == 499
 
 
