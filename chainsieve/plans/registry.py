@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from chainsieve.plans import evaluation, selection, textual
+    from chainsieve.plans import evaluation, more, selection, textual
 
-    return [selection, evaluation, textual]
+    return [selection, evaluation, textual, more]
 
 
 def queries() -> dict[str, Query]:
