@@ -11,9 +11,10 @@ from chainsieve.sources.tables import table
 K = 3
 
 
-def chains(spark: SparkSession, root: str) -> DataFrame:
-    """Candidates, each once."""
-    return table(spark, root, "candidates").distinct()
+def chains(spark: SparkSession, root: str, text: bool = False) -> DataFrame:
+    """Candidates, each once; their texts are read and shuffled only on demand."""
+    rows = table(spark, root, "candidates")
+    return (rows if text else rows.drop("text")).distinct()
 
 
 def fits(spark: SparkSession, root: str) -> DataFrame:
@@ -25,8 +26,10 @@ def quality(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "quality").distinct()
 
 
-def generations(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "eval").distinct()
+def generations(spark: SparkSession, root: str, text: bool = False) -> DataFrame:
+    """Generations, each once; texts and questions only on demand."""
+    rows = table(spark, root, "eval")
+    return (rows if text else rows.drop("text", "question")).distinct()
 
 
 def questions(spark: SparkSession, root: str) -> DataFrame:
@@ -41,7 +44,7 @@ POOL = (
 
 def pool(spark: SparkSession, root: str) -> DataFrame:
     """Chains with quality and fit of questions that have at least three of them, in hashed order."""
-    lean = chains(spark, root).drop("text", "ts")
+    lean = chains(spark, root).drop("ts")
     scored = lean.join(fits(spark, root).drop("qid", "model", "ts"), "tid").where(usable_column("grape"))
     return hashed_position(usable_pool(scored, quality(spark, root), K)).select(*POOL)
 

@@ -96,7 +96,7 @@ def cost(spark: SparkSession, root: str) -> DataFrame:
     """What judging the truncated chains would cost, by their length against the others'."""
     size = F.length(F.coalesce("text", F.lit("")))
     cut = F.coalesce(F.col("finish_reason") == "length", F.lit(False))
-    found = chains(spark, root).agg(
+    found = chains(spark, root, text=True).agg(
         F.count_if(cut).alias("n"), F.avg(F.when(cut, size)).alias("a"), F.avg(F.when(~cut, size)).alias("b")
     )
     ratio = F.greatest(F.lit(1.0), F.coalesce(F.col("a") / F.nullif(F.col("b"), F.lit(0.0)), F.lit(1.0)))
@@ -159,7 +159,7 @@ def correlation_matrix(spark: SparkSession, root: str) -> DataFrame:
 def lost_steps(spark: SparkSession, root: str) -> DataFrame:
     """Steps counted by the scorer against lines of the text."""
     lines = F.size(F.filter(F.split("text", "\n"), lambda s: F.trim(s) != ""))
-    rows = chains(spark, root).where("text is not null").select("tid", lines.alias("lines"))
+    rows = chains(spark, root, text=True).where("text is not null").select("tid", lines.alias("lines"))
     both = rows.join(fits(spark, root).select("tid", "n_steps"), "tid").where("n_steps is not null")
     return both.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_steps") < F.col("lines")).alias("fewer"), _r(F.avg(F.col("n_steps").cast("double"))).alias("mean_steps")
@@ -168,7 +168,7 @@ def lost_steps(spark: SparkSession, root: str) -> DataFrame:
 
 def rates(spark: SparkSession, root: str) -> DataFrame:
     """Median and mean characters a token of the generations, by tag."""
-    rows = generations(spark, root).where("n_tokens > 0 and text is not null")
+    rows = generations(spark, root, text=True).where("n_tokens > 0 and text is not null")
     rate = F.length("text") / F.col("n_tokens")
     return rows.groupBy("tag").agg(
         F.count(F.lit(1)).alias("n"), _r(F.percentile(rate, F.lit(0.5))).alias("median"), _r(F.avg(rate)).alias("mean")

@@ -58,13 +58,13 @@ def _veto(signal: str, veto: str) -> str:
 
 
 def usable(spark: SparkSession, root: str) -> DataFrame:
-    return P.usable_pool(chains(spark, root).drop("text"), quality(spark, root)).select("qid", "tid", "n")
+    return P.usable_pool(chains(spark, root), quality(spark, root)).select("qid", "tid", "n")
 
 
 def extended(spark: SparkSession, root: str) -> DataFrame:
     every, judged = chains(spark, root), quality(spark, root)
-    kept = P.usable_pool(every.drop("text"), judged)
-    return _picked(P.extended_pool(every, kept, P.excluded_chains(every, judged)))
+    kept = P.usable_pool(every, judged)
+    return _picked(P.extended_pool(chains(spark, root, text=True), kept, P.excluded_chains(every, judged)))
 
 
 def excluding(spark: SparkSession, root: str) -> DataFrame:

@@ -33,7 +33,7 @@ def golds(spark: SparkSession, root: str) -> DataFrame:
 
 
 def marked_golds(spark: SparkSession, root: str) -> DataFrame:
-    rows = chains(spark, root).where(F.contains("text", F.lit("####")))
+    rows = chains(spark, root, text=True).where(F.contains("text", F.lit("####")))
     return rows.select("tid", text.gsm_gold(F.col("text")).alias("gold"))
 
 
