@@ -16,6 +16,10 @@ from chainsieve.sources.tables import table
 from chainsieve.streaming import logs
 
 
+#: Most items one side of the fuzzy comparison may have.
+MOST_ITEMS = 10_000
+
+
 def _r(column, digits: int = 6):
     return F.round(column, digits)
 
@@ -283,7 +287,9 @@ def nearest(spark: SparkSession, root: str) -> DataFrame:
     import pandas as pd
 
     rows = table(spark, root, "eval_items", "item_id", "benchmark", "question").distinct().where("question is not null")
-    right = rows.where("benchmark = 'aime25'").select("item_id", "question").orderBy("item_id").limit(10_000).collect()
+    right = rows.where("benchmark = 'aime25'").select("item_id", "question").orderBy("item_id").limit(MOST_ITEMS + 1).collect()
+    if len(right) > MOST_ITEMS:
+        raise ValueError(f"the fuzzy comparison is meant for at most {MOST_ITEMS} items")
     others = [(r["item_id"], r["question"]) for r in right]
 
     def match(batches):
