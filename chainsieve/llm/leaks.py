@@ -30,10 +30,15 @@ _WORD = re.compile(r"[^\W_]+(?:(?<=\d)[.,](?=\d)[^\W_]+)*")
 _RUN = re.compile(r"[^\W_]+")
 _POINT = re.compile(r"(?<=\d)[.,](?=\d)")
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+# A line feed written as backslash and n, as in quoted strings; not the first letter of a formula's command.
+_ESCAPED = re.compile(r"\\[nr](?=\\[nr]|[^a-z]|$)")
 
 
 def _without_tags(text: str) -> str:
-    return _TAG.sub(lambda m: " " * len(m.group()), text) if "<" in text else text
+    """The text with tags and written-out line feeds blanked, every character in its place."""
+    if "<" in text:
+        text = _TAG.sub(lambda m: " " * len(m.group()), text)
+    return _ESCAPED.sub("  ", text) if "\\n" in text or "\\r" in text else text
 
 
 def unlocated(text: str) -> list[str]:
