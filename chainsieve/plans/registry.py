@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from chainsieve.plans import evaluation, more, selection, textual
+    from chainsieve.plans import evaluation, extra, more, selection, textual
 
-    return [selection, evaluation, textual, more]
+    return [selection, evaluation, textual, more, extra]
 
 
 def queries() -> dict[str, Query]:
