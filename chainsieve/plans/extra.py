@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chainsieve.functions import answers, batching, steps, text
+from chainsieve.functions import batching, text
+from chainsieve.functions.answers import boxed_spans as spans_of
+from chainsieve.functions.steps import cut_kind, rule_ends, tidy_ends, valid_ends
 from chainsieve.operators import metrics, objective, rules, stats
 from chainsieve.operators.prefix import running_sums
 from chainsieve.plans.base import K, WITH, chains, fits, generations, pool, questions
@@ -77,7 +79,7 @@ def boxed_spans(spark: SparkSession, root: str) -> DataFrame:
         import pandas as pd
 
         for frame in batches:
-            spans = [answers.boxed_spans(t) for t in frame["text"]]
+            spans = [spans_of(t) for t in frame["text"]]
             tails = [t[s[-1][1] :] if s else t for t, s in zip(frame["text"], spans)]
             yield pd.DataFrame(
                 {
@@ -98,7 +100,7 @@ def step_audit(spark: SparkSession, root: str) -> DataFrame:
         import pandas as pd
 
         for frame in batches:
-            kinds = [steps.cut_kind(t, e) for t in frame["text"] for e in steps.rule_ends(t, "sentence")[:-1]]
+            kinds = [cut_kind(t, e) for t in frame["text"] for e in rule_ends(t, "sentence")[:-1]]
             yield pd.DataFrame({"kind": kinds})
 
     return rows.mapInPandas(run, "kind string").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
@@ -112,8 +114,8 @@ def tidy_steps(spark: SparkSession, root: str) -> DataFrame:
         import pandas as pd
 
         for frame in batches:
-            ends = [steps.tidy_ends(t, steps.rule_ends(t, "sentence")) for t in frame["text"]]
-            ok = [steps.valid_ends(e, len(t)) for e, t in zip(ends, frame["text"])]
+            ends = [tidy_ends(t, rule_ends(t, "sentence")) for t in frame["text"]]
+            ok = [valid_ends(e, len(t)) for e, t in zip(ends, frame["text"])]
             yield pd.DataFrame({"tid": frame["tid"], "n_steps": [len(e) for e in ends], "valid": ok})
 
     return rows.mapInPandas(run, "tid string, n_steps int, valid boolean")
