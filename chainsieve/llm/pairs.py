@@ -231,14 +231,18 @@ def is_copy(question: str | None, text: str) -> bool:
 # Marks that end a sentence, and words after which none ends.
 _ENDS = ".!?。！？…؟।"
 _CLOSERS = " \t\n\"'”’)]*_`»>}$"
+# A list number that nothing follows, and an end without blanks (a formula or loop that was cut).
+_BARE_MARKER = re.compile(r"(?:\A|\n|[.!?]\s+)\s*(?:Step\s+)?(?:\d+[.):]|\(\d+\)|[-*•])\s*\Z")
+_UNBROKEN = re.compile(r"[!-~]{60}\Z")
 _OPEN = re.compile(r"\\begin\{(\w+\*?)\}|\\end\{(\w+\*?)\}")
 
 
 def is_truncated(text: str) -> bool:
     """Breaks off in mid-sentence or mid-formula, without a complete final answer.
 
-    The terminal context decides: what mark the last line ends with, and whether a
-    formula, bracket or environment is still open there.
+    The terminal context decides: what mark the last line ends with, whether a
+    formula, bracket or environment is still open there, and whether a list number
+    or an unbroken run of signs is all that stands at the end.
     """
     if has_final_answer(text):
         return False
@@ -250,7 +254,7 @@ def is_truncated(text: str) -> bool:
         opened += 1 if m.group(1) else -1
     last = tail[tail.rfind("\n") + 1 :]
     formula = last.replace("\\$", "").count("$") % 2 == 1 or tail.count("\\[") > tail.count("\\]") or tail.count("\\(") > tail.count("\\)")
-    if opened > 0 or formula:
+    if opened > 0 or formula or _BARE_MARKER.search(tail) or _UNBROKEN.search(tail):
         return True
     return tail.rstrip(_CLOSERS)[-1:] not in tuple(_ENDS)
 

@@ -20,7 +20,7 @@ def test_proper(end):
     assert defects(ASK, SOLVED + "(por cierto) " + end) == []
 
 
-@pytest.mark.parametrize("cut", ["Then 7 were giv", "which leaves $90 - 45 = 4", "so the rest,", r"\begin{aligned} x &= 3", "is half of the"])
+@pytest.mark.parametrize("cut", ["Then 7 were giv", "which leaves $90 - 45 = 4", "so the rest,", r"\begin{aligned} x &= 3", "is half of the", "7. ", "Step 4:", "0." * 90])
 def test_truncated(cut):
     assert defects(ASK, SOLVED.rsplit("\n", 2)[0] + "\n" + cut) == ["truncated"]
     assert defects(ASK, r"We first note \boxed{58} as a partial count. " + SOLVED * 6 + cut) == ["truncated"]
