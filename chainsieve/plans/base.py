@@ -12,9 +12,13 @@ K = 3
 
 
 def chains(spark: SparkSession, root: str, text: bool = False) -> DataFrame:
-    """Candidates, each once; their texts are read and shuffled only on demand."""
+    """Candidates, each once; their texts are read and shuffled only on demand.
+
+    Rows are placed by ``tid`` before equal ones are dropped, so that the joins on it
+    that follow need no other shuffle.
+    """
     rows = table(spark, root, "candidates")
-    return (rows if text else rows.drop("text")).distinct()
+    return (rows if text else rows.drop("text")).repartition("tid").distinct()
 
 
 def fits(spark: SparkSession, root: str) -> DataFrame:
@@ -23,7 +27,7 @@ def fits(spark: SparkSession, root: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "quality").distinct()
+    return table(spark, root, "quality").repartition("tid").distinct()
 
 
 def generations(spark: SparkSession, root: str, text: bool = False) -> DataFrame:
