@@ -460,6 +460,7 @@ f as (select tid, cast(len(w) as int) as n_words, {", ".join(f"{_SHARE.format(_K
 _NORM = r"lower(trim(regexp_replace({}, '[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+', ' ', 'g')))"
 
 SQL = {
+    "q_f1_norm": f"select doc_id, md5({_NORM.format('text')}) as digest, length({_NORM.format('text')}) as n from documents",
     "q_f3_marked_gold": f"""{WITH} select tid, nullif(replace(trim(list_last(string_split(text, '####'))), ',', ''), '') as gold
       from chains where contains(text, '####')""",
     "q_f4_plain_boxes": r"""select distinct tid, nullif(trim(regexp_extract(text, '\\boxed\{([^{}\\]+)\}[^\\]*$', 1)), '') as pred from candidates
