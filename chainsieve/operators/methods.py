@@ -45,12 +45,12 @@ METHODS: dict[str, Method] = {
     "local_naturalness": Method(top("local_nat")),
     "quality": Method(top("qual")),
     "lark": Method(lambda p, k: rules.lark_weights(rules.lark(p), k)),
-    "fq_select": Method(lambda p, k: rules.rank_sum(p, {"grape": (0.5, "max"), "qual": (0.5, "max")}, k)),
-    "fq_judge": Method(lambda p, k: rules.rank_sum(p, {"grape": (0.5, "max"), "llm_score": (0.5, "max")}, k)),
-    "fq_veto": Method(lambda p, k: rules.veto_top_k(p, "grape", "qual", DROP, k)),
-    "fq_veto_judge": Method(lambda p, k: rules.veto_top_k(p, "grape", "llm_score", DROP, k)),
-    "fq_veto_judge_noqwen": Method(lambda p, k: rules.veto_top_k(p, "grape", "llm_score", DROP, k), ("qwen72b",)),
-    "fq_veto_judge_within_teacher": Method(lambda p, k: rules.veto_within_teacher(p, "grape", "llm_score", DROP, k)),
+    "rank_sum": Method(lambda p, k: rules.rank_sum(p, {"grape": (0.5, "max"), "qual": (0.5, "max")}, k)),
+    "rank_sum_judge": Method(lambda p, k: rules.rank_sum(p, {"grape": (0.5, "max"), "llm_score": (0.5, "max")}, k)),
+    "veto": Method(lambda p, k: rules.veto_top_k(p, "grape", "qual", DROP, k)),
+    "veto_judge": Method(lambda p, k: rules.veto_top_k(p, "grape", "llm_score", DROP, k)),
+    "veto_judge_noqwen": Method(lambda p, k: rules.veto_top_k(p, "grape", "llm_score", DROP, k), ("qwen72b",)),
+    "veto_judge_within_teacher": Method(lambda p, k: rules.veto_within_teacher(p, "grape", "llm_score", DROP, k)),
     "quality_within_teacher": Method(lambda p, k: rules.within_teacher(p, "qual", k)),
     "familiarity_within_teacher": Method(lambda p, k: rules.within_teacher(p, "grape", k)),
     "random_at_grape": Method(lambda p, k: rules.random_at_signal_shares(p, "grape", k), exploratory=True),

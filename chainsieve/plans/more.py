@@ -372,14 +372,6 @@ QUERIES = {
 }
 
 _TOP = "row_number() over (partition by qid order by {} desc, pos)"
-_METHOD_SQL = {
-    "correct_only": "q_w8_random", "grape": "q_w6_grape", "rsr": "q_w6_rsr", "token_length": "q_w6_token_length",
-    "local_naturalness": "q_w6_local_nat", "lark": "q_w19_lark_weights", "fq_select": "q_w10_rank_sum",
-    "fq_veto": "q_w12_veto_topk", "fq_veto_judge": "q_w12_veto_judge",
-    "fq_veto_judge_within_teacher": "q_w17_veto_within_teacher", "quality_within_teacher": "q_w14_quality_within_teacher",
-    "familiarity_within_teacher": "q_w15_signal_within_teacher", "random_at_grape": "q_w16_random_at_shares",
-    "teacher_qwen_first": "q_w9_teacher_first", "teacher_qwen_last": "q_w9_teacher_last",
-}
 _ACC1 = f"""{WITH}, first as (select * exclude (k) from (select *, row_number() over (
     partition by tag, seed, benchmark, qid, sample order by gen_id desc) as k from gens where sample < 1) where k = 1),
 runs as (select tag, seed, benchmark, avg(cast(coalesce(correct, false) as double)) as acc from first group by all),
