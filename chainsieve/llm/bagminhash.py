@@ -8,8 +8,11 @@ similarity, and a process need not be followed beyond the latest kept point.
 
 from __future__ import annotations
 
+import gc
+import time as clock
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -23,16 +26,22 @@ from chainsieve.llm.components import connected_components
 from chainsieve.llm.words import words
 from chainsieve.session import checkpoint_dir
 
-#: Bands of the signature and places in each.  A pair that agrees to three quarters
+#: Passes, each with a signature of its own, so that only the rows of one pass lie on
+#: disk at a time; bands of a pass and places in each.  A pair that agrees to three quarters
 #: has weighted Jaccard 0.6 at least, one that agrees to nine tenths 0.81.
-BANDS, ROWS = 48, 8
-#: Share of equal places from which two signatures are taken for similar, and how many
-#: of the six places a bucket row carries must agree (by one byte each) to be a candidate.
-ALIKE, CARRIED_ALIKE = 0.45, 3
-#: Places of a text's sketch, one byte each; candidates must agree in the share ALIKE of them.
-SKETCH = 64
+PASSES, BANDS, ROWS = 3, 30, 5
+#: Share of equal places from which two sketches are taken for similar, and how many of the
+#: ``CARRIED`` places a bucket row carries (by two bits each) must agree to be a candidate.
+ALIKE, CARRIED, CARRIED_ALIKE = 0.45, 60, 35
 #: Rows of a bucket right before a row, besides the first, that it is compared with.
 BACK = 16
+#: Share of equal places from which a row of a batch may stand for another one in a bucket:
+#: what is like the one is then like the other.
+SAME = 0.9
+#: Places of a text's sketch, one byte each; candidates must agree in the share ALIKE of them.
+SKETCH = 128
+#: Bits of a bucket's key; what shares a key by chance does not agree in the carried places.
+KEY_BITS = 40
 #: Texts whose words agree to this share are near-duplicates: cases agree to 0.75 and
 #: more, all other pairs to less than 0.70.
 AGREE = 0.725
@@ -125,33 +134,42 @@ def _distinct(a: np.ndarray, b: np.ndarray, inverse: bool = False):
 
 
 def carried(signature: np.ndarray, words_in: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Per row and band one number: the row's length and one byte of six places of the next band."""
-    low = (_mix(signature.view(np.uint64)) & np.uint64(255)).reshape(len(signature), bands, rows)
-    low = np.roll(low, -1, axis=1)
-    number = np.broadcast_to(np.minimum(words_in, 65535).astype(np.uint64)[:, None], (len(signature), bands)).copy()
-    for k in range(6):
-        number |= low[:, :, k % rows] << np.uint64(16 + 8 * k)
-    return number
-
-
-def may_agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether two carried numbers allow the rows to be near-duplicates."""
-    a, b = a.view(np.uint64), b.view(np.uint64)
-    la, lb = (a & np.uint64(65535)).astype(float), (b & np.uint64(65535)).astype(float)
-    same = np.zeros(len(a), np.int64)
-    for k in range(6):
-        same += ((a ^ b) >> np.uint64(16 + 8 * k)) & np.uint64(255) == 0
-    return (same >= CARRIED_ALIKE) & (np.minimum(la, lb) >= 0.7 * np.maximum(la, lb))
-
-
-def _bucket_rows(bands: int, rows: int, batch_rows: int = 10_000):
-    """Batches of (node, text) -> rows (key, node, carried, tie, sketch).
-
-    One row per band and batch, or a link, and one row with the sketch of every text.
-
-    Of the similar rows of a batch that share a key only the first goes on under
-    it; the others are linked to that one here (``tie``, with the other node in
-    ``carried``).  So a bucket that holds a large part of all rows reaches no task
+    """Per row and band two numbers: two bits of each of the ``CARRIED`` places after the band, and a code of the length."""
+    low = _mix(signature.view(np.uint64)) & np.uint64(3)
+    code = np.minimum(np.log(np.maximum(words_in, 1)) * 20, 255).astype(np.uint64)
+    numbers = np.zeros((len(signature), bands, 2), np.uint64)
+    after = (np.arange(bands) + 1) * rows
+    for k in range(CARRIED):
+        numbers[:, :, k % 2] |= low[:, (after + k) % low.shape[1]] << np.uint64(k // 2 * 2)
+    numbers[:, :, 0] |= (code & np.uint64(15))[:, None] << np.uint64(60)
+    numbers[:, :, 1] |= (code >> np.uint64(4))[:, None] << np.uint64(60)
+    return numbers
+
+
+_FIELDS = np.uint64(0x0555555555555555)
+
+
+def may_agree(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether two rows' carried numbers allow them to be near-duplicates."""
+    differ = np.zeros(len(a[0]), np.uint8)
+    code = [np.zeros(len(a[0]), np.int64), np.zeros(len(a[0]), np.int64)]
+    for k in (0, 1):
+        x, y = a[k].view(np.uint64), b[k].view(np.uint64)
+        differ += np.bitwise_count(((x ^ y) | ((x ^ y) >> np.uint64(1))) & _FIELDS)
+        for c, z in zip(code, (x, y)):
+            c += (z >> np.uint64(60)).astype(np.int64) << (4 * k)
+    # Lengths that agree to 0.7 lie at most 8 apart in code.
+    return (differ <= CARRIED - CARRIED_ALIKE) & (np.abs(code[0] - code[1]) <= 8)
+
+
+def _bucket_rows(bands: int, rows: int, turn: int = 0, batch_rows: int = 10_000):
+    """Batches of (node, text) -> rows (key, node, carried, tie, sketch, more).
+
+    One row per band and batch, or a link, and in the first turn one row with the sketch of every text.
+
+    Of the rows of a batch that share a key and are almost the same only the first goes
+    on under it; the others are linked to that one here (``tie``, with the other node
+    in ``carried``).  So a bucket that holds a large part of all rows reaches no task
     as more than a few rows per batch.
     """
 
@@ -167,28 +185,37 @@ def _bucket_rows(bands: int, rows: int, batch_rows: int = 10_000):
                 node, lengths, n = node[full], lengths[full], int(full.sum())
                 if not n:
                     continue
-                signature = signatures(place[row], element, n, bands * rows)
-                keys = band_keys(signature, bands, rows).reshape(-1)
-                number = carried(signature, lengths, bands, rows).reshape(-1)
+                own_points = _mix(element + np.uint64(turn * int(_G2) & 0xFFFFFFFFFFFFFFFF)) if turn else element
+                signature = signatures(place[row], own_points, n, max(bands * rows, SKETCH))
+                keys = band_keys(signature[:, : bands * rows].copy(), bands, rows).reshape(-1)
+                keys = (keys + np.uint64(turn)) << np.uint64(64 - KEY_BITS)
+                number = carried(signature, lengths, bands, rows).reshape(-1, 2).view(np.int64)
                 mine = np.repeat(np.arange(n), bands)
                 _, first, back = np.unique(keys, return_index=True, return_inverse=True)
                 lead = mine[first][back]
                 behind = np.flatnonzero(lead != mine)
                 pair, of = _distinct(mine[behind], lead[behind], inverse=True)
-                alike = np.array([(signature[a] == signature[b]).mean() >= ALIKE for a, b in pair.T], bool)
+                alike = np.zeros(pair.shape[1], bool)
+                for lo in range(0, pair.shape[1], 20_000):
+                    a, b = pair[:, lo : lo + 20_000]
+                    alike[lo : lo + 20_000] = (signature[a] == signature[b]).mean(axis=1) >= SAME
                 goes_on = np.ones(len(keys), bool)
                 goes_on[behind[alike[of]]] = False
-                ties = node[pair[:, alike]] if len(alike) else np.zeros((2, 0), np.int64)
+                ties = node[pair[:, alike]]
                 own = _mix(ties[0].astype(np.uint64) * _G1 + ties[1].astype(np.uint64))
                 some = (_mix(signature[:, :SKETCH].view(np.uint64)) & np.uint64(255)).astype(np.uint8)
-                m, t = int(goes_on.sum()), ties.shape[1]
+                whose = node[mine[goes_on]]
+                if turn:
+                    node, some = node[:0], some[:0]
+                m, t, n = int(goes_on.sum()), ties.shape[1], len(node)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([keys[goes_on], own, _mix(node.astype(np.uint64))]).view(np.int64)),
-                        pa.array(np.concatenate([node[mine[goes_on]], ties[0], node])),
-                        pa.array(np.concatenate([number[goes_on].view(np.int64), ties[1], np.zeros(n, np.int64)])),
+                        pa.array(np.concatenate([whose, ties[0], node])),
+                        pa.array(np.concatenate([number[goes_on, 0], ties[1], np.zeros(n, np.int64)])),
                         pa.array((np.arange(m + t + n) >= m) & (np.arange(m + t + n) < m + t)),
                         pa.array([None] * (m + t) + [row.tobytes() for row in some], pa.binary()),
+                        pa.array(np.concatenate([number[goes_on, 1], np.zeros(t + n, np.int64)])),
                     ],
                     names=BUCKETS.split()[::2],
                 )
@@ -196,17 +223,16 @@ def _bucket_rows(bands: int, rows: int, batch_rows: int = 10_000):
     return run
 
 
-BUCKETS = "key bigint, node bigint, carried bigint, tie boolean, sketch binary"
+BUCKETS = "key bigint, node bigint, carried bigint, tie boolean, sketch binary, more bigint"
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of whole buckets -> candidate links ``a > b``; sketches pass through as ``a`` with their bytes.
 
-    A row is compared with the first of its bucket and the ones right before it.  A
-    task holds the rows of its shuffle partition as flat columns, 25 bytes a row,
-    and sorts them itself.
+    A row is compared with the first of its bucket and the ones right before it.  A task holds the rows of its
+    shuffle partition as flat columns, 33 bytes a row, and sorts them itself.
     """
-    columns: list[list[np.ndarray]] = [[], [], [], []]
+    columns: list[list[np.ndarray]] = [[], [], [], [], []]
     nothing = pa.array([], pa.int64())
     for batch in batches:
         has = batch.column(4).is_valid()
@@ -215,16 +241,17 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = pa.array([None] * sketched.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([sketched.column(1), none, sketched.column(4)], names=["a", "b", "sketch"])
         plain = batch.filter(pc.invert(has))
-        for column, part in zip(columns, plain.columns):
+        for column, k in zip(columns, (0, 1, 2, 3, 5)):
+            part = plain.column(k)
             column.append(part.to_numpy(zero_copy_only=False))
     if not columns[0]:
         yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array([], pa.binary())], names=["a", "b", "sketch"])
         return
-    key, node, number, tie = (np.concatenate(c) for c in columns)
+    key, node, number, tie, more = (np.concatenate(c) for c in columns)
     columns.clear()
     tie = tie.astype(bool)
     found = [(node[tie], number[tie])]
-    key, node, number = key[~tie], node[~tie], number[~tie]
+    key, node, number, more = key[~tie], node[~tie], number[~tie], more[~tie]
     order = np.argsort(key)
     start = np.ones(len(key), bool)
     start[1:] = key[order][1:] != key[order][:-1]
@@ -232,8 +259,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order, start = order[~single], start[~single]
     if len(order):
         bucket = np.cumsum(start) - 1
-        order = order[np.lexsort((node[order], bucket))]
-        node, number = node[order], number[order]
+        node, number, more = node[order], number[order], more[order]
         head = np.flatnonzero(start)[bucket]
         place = np.arange(len(order)) - head
         for back in (None, *range(1, BACK + 1)):
@@ -241,7 +267,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 break
             other = head[at] if back is None else at - back
-            ok = (node[at] != node[other]) & may_agree(number[at], number[other])
+            ok = may_agree((number[at], more[at]), (number[other], more[other])) & (node[at] != node[other])
             found.append((node[at[ok]], node[other[ok]]))
     a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
     pair = _distinct(np.maximum(a, b), np.minimum(a, b))
@@ -259,16 +285,28 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
 
+def _free(df: DataFrame) -> None:
+    """Lets the driver drop the shuffle files of a pass before the next one writes its own."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    clock.sleep(1)
+
+
 def candidate_links(df: DataFrame, node: str, text: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Distinct links ``a > b`` between 64-bit ``node`` numbers whose texts share a band and whose sketches agree.
 
-    Linear in the rows: within a bucket every row is linked to a few others.  Texts
-    that share a band by chance do not pass the sketch, so groups do not grow
-    together as the collection grows.  Null, empty and wordless texts have no links.
+    Within a bucket every row is linked to a few others.  Texts that share a band
+    by chance do not pass the sketch, so groups do not grow together as the collection
+    grows.  Null, empty and wordless texts have no links.
     """
     checkpoint_dir(df.sparkSession)
-    buckets = df.select(node, text).mapInArrow(_bucket_rows(bands, rows), BUCKETS)
-    found = buckets.repartition("key").mapInArrow(_links, "a bigint, b bigint, sketch binary").checkpoint()
+    parts = []
+    for turn in range(PASSES):
+        buckets = df.select(node, text).mapInArrow(_bucket_rows(bands, rows, turn), BUCKETS)
+        parts.append(buckets.repartition("key").mapInArrow(_links, "a bigint, b bigint, sketch binary").checkpoint())
+        del buckets
+        _free(df)
+    found = reduce(DataFrame.unionByName, parts)
     links = found.where("b is not null").select("a", "b").distinct()
     sketch = found.where("b is null").groupBy("a").agg(F.first("sketch").alias("sketch"))
     both = links.join(sketch.withColumnRenamed("sketch", "sa"), "a").join(

@@ -73,6 +73,19 @@ def test_hot_bucket_leaves_a_batch_as_one_row():
     assert (~tie).sum() == B.BANDS and tie.sum() == 499
 
 
+def test_lone_pairs_at_three_quarters_are_found(spark):
+    rng = random.Random(5)
+    rows, want = [], set()
+    for i in range(300):
+        base = [f"x{rng.randrange(10**9)}" for _ in range(100)]
+        other = base[:75] + [f"x{rng.randrange(10**9)}" for _ in range(25)]
+        rng.shuffle(other)
+        rows += [(f"a{i}", " ".join(base)), (f"b{i}", " ".join(other))]
+        want.add((f"a{i}", f"b{i}"))
+    got = {tuple(r) for r in B.near_duplicate_pairs(spark.createDataFrame(rows, "id string, text string"), "id", "text").collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_classes(spark):
     rows = texts(1, 3, 4) + [("lone", "entirely different words here")]
     df = spark.createDataFrame(rows, "id string, text string")
