@@ -33,8 +33,6 @@ PASSES, BANDS, ROWS = 3, 30, 5
 #: Share of equal places from which two sketches are taken for similar, and how many of the
 #: ``CARRIED`` places a bucket row carries (by two bits each) must agree to be a candidate.
 ALIKE, CARRIED, CARRIED_ALIKE = 0.45, 60, 35
-#: Rows of a bucket right before a row, besides the first, that it is compared with.
-BACK = 16
 #: Share of equal places from which a row of a batch may stand for another one in a bucket:
 #: what is like the one is then like the other.
 SAME = 0.9
@@ -229,7 +227,7 @@ BUCKETS = "key bigint, node bigint, carried bigint, tie boolean, sketch binary,
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of whole buckets -> candidate links ``a > b``; sketches pass through as ``a`` with their bytes.
 
-    A row is compared with the first of its bucket and the ones right before it.  A task holds the rows of its
+    Every row is compared with all others of its bucket.  A task holds the rows of its
     shuffle partition as flat columns, 33 bytes a row, and sorts them itself.
     """
     columns: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -262,13 +260,15 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, number, more = node[order], number[order], more[order]
         head = np.flatnonzero(start)[bucket]
         place = np.arange(len(order)) - head
-        for back in (None, *range(1, BACK + 1)):
-            at = np.flatnonzero(place > 0 if back is None else place > back)
-            if not len(at):
-                break
-            other = head[at] if back is None else at - back
-            ok = may_agree((number[at], more[at]), (number[other], more[other])) & (node[at] != node[other])
-            found.append((node[at[ok]], node[other[ok]]))
+        at = np.flatnonzero(place)
+        for back in range(1, int(place.max()) + 1):
+            at = at[place[at] >= back]
+            for lo in range(0, len(at), 100_000):
+                one = at[lo : lo + 100_000]
+                other = one - back
+                ok = may_agree((number[one], more[one]), (number[other], more[other]))
+                ok &= node[one] != node[other]
+                found.append((node[one[ok]], node[other[ok]]))
     a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
     pair = _distinct(np.maximum(a, b), np.minimum(a, b))
     nulls = pa.array([None] * pair.shape[1], pa.binary())
@@ -295,7 +295,7 @@ def _free(df: DataFrame) -> None:
 def candidate_links(df: DataFrame, node: str, text: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Distinct links ``a > b`` between 64-bit ``node`` numbers whose texts share a band and whose sketches agree.
 
-    Within a bucket every row is linked to a few others.  Texts that share a band
+    Within a bucket every row is compared with every other.  Texts that share a band
     by chance do not pass the sketch, so groups do not grow together as the collection
     grows.  Null, empty and wordless texts have no links.
     """

@@ -86,6 +86,19 @@ def test_lone_pairs_at_three_quarters_are_found(spark):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_full_buckets_are_compared_completely():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n = 60
+    number, more = (rng.integers(0, 2**60, n, np.int64) for _ in range(2))
+    number[-3], more[-3] = number[2], more[2]
+    empty = pa.array([None] * n, pa.binary())
+    columns = [pa.array(np.full(n, 7)), pa.array(np.arange(n)), pa.array(number), pa.array([False] * n), empty, pa.array(more)]
+    (out,) = B._links([pa.RecordBatch.from_arrays(columns, names=B.BUCKETS.split()[::2])])
+    assert list(zip(out.column(0).to_pylist(), out.column(1).to_pylist())) == [(n - 3, 2)]
+
+
 def test_classes(spark):
     rows = texts(1, 3, 4) + [("lone", "entirely different words here")]
     df = spark.createDataFrame(rows, "id string, text string")
