@@ -20,8 +20,11 @@ PATTERN, STRIDE = 4, 2
 #: Words that may be changed, added or left out in one place of a passage.
 DRIFT = 5
 #: A pattern that stands in more texts of test material than this is lengthened word by
-#: word; a run of ``STOCK`` words that still does is a stock instruction and tells nothing.
+#: word, to ``STOCK`` words at most.
 COMMON, STOCK = 4, 8
+#: A run of ``STOCK`` words that stands in more than this share of the texts is a stock
+#: instruction and tells nothing.
+STOCK_SHARE = 0.02
 #: Most test items the automaton is built for; it is held by every worker.
 MOST_ITEMS = 200_000
 
@@ -80,15 +83,18 @@ class Material:
             for numbers in self.parts:
                 seen.update({tuple(numbers[k : k + width]) for k in range(len(numbers) - width + 1)})
             spread.append(Counter({run: n for run, n in seen.items() if n > COMMON}))
+        least = max(COMMON, STOCK_SHARE * len(self.parts))
+        stock = {run for run, n in spread[-1].items() if n > least}
         places: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for n, runs in enumerate(self.parts):
             for k in range(len(runs) - STOCK + 1):
-                if tuple(runs[k : k + STOCK]) in spread[-1]:
+                if tuple(runs[k : k + STOCK]) in stock:
                     self.weights[n][k : k + STOCK] = [0] * STOCK
             for k in range(0, len(runs) - PATTERN + 1, STRIDE):
                 for width in range(PATTERN, STOCK + 1):
                     run = tuple(runs[k : k + width])
-                    if len(run) == width and run not in spread[width - PATTERN]:
+                    common = stock if width == STOCK else spread[width - PATTERN]
+                    if len(run) == width and run not in common:
                         places[run].append((n, k))
                         break
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)

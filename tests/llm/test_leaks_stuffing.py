@@ -66,6 +66,16 @@ def test_random_windows_with_changes(seed):
     assert missed == 0
 
 
+def test_prose_of_some_items_is_no_stock_instruction():
+    prose = "it follows that we may write the quantity as"
+    first = passage(40)
+    texts = [(f"p{k}", "solution", f"{first if k == 0 else passage(40)} {prose} {passage(40)}") for k in range(12)]
+    material = Material(texts + [(f"x{k}", "solution", passage(60)) for k in range(900)])
+    words = texts[0][2].split()
+    text = passage(30) + " " + " ".join(words[32:57]) + " " + passage(30)
+    assert "p0" in {material.owner[n][0] for n, *_ in material.passages(material.numbered(unlocated(text)))}
+
+
 def test_no_items(spark):
     items = spark.createDataFrame([], "item_id string, question string")
     pages = spark.createDataFrame([(1, passage(100))], "doc_id bigint, text string")
