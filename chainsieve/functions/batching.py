@@ -21,10 +21,24 @@ def plan_batches(widths: list[int], cells: int, most: int) -> list[list[int]]:
     return batches
 
 
+def counted_sizes(widths: list[int], counts: list[int], cells: int, most: int) -> list[int]:
+    """Sizes of the same batches from distinct widths and how often each occurs."""
+    sizes, room = [], 0
+    for width, left in sorted(zip(map(int, widths), map(int, counts)), reverse=True):
+        while left:
+            if not room:
+                room = max(1, min(most, cells // max(1, width) ** 2))
+                sizes.append(0)
+            taken = min(room, left)
+            sizes[-1] += taken
+            room, left = room - taken, left - taken
+    return sizes
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def batch_sizes(widths: pd.Series) -> pd.Series:
-    """Sizes of the batches of an array of widths, for a budget of 4,000,000 cells and 16 rows."""
-    return widths.map(lambda w: [len(b) for b in plan_batches([int(x) for x in w], 4_000_000, 16)])
+def batch_sizes(widths: pd.Series, counts: pd.Series) -> pd.Series:
+    """Sizes of the batches of distinct widths and their counts, for a budget of 4,000,000 cells and 16 rows."""
+    return pd.Series([counted_sizes(w, n, 4_000_000, 16) for w, n in zip(widths, counts)])
 
 
 def split_at(ids: Column, stop: int) -> Column:

@@ -147,8 +147,9 @@ def control(spark: SparkSession, root: str) -> DataFrame:
 def batches(spark: SparkSession, root: str) -> DataFrame:
     """Chains of every question packed by the square of their widest."""
     rows = pool(spark, root).where("n_tokens is not null")
-    packed = rules.random_k(rows, 64).groupBy("qid").agg(F.sort_array(F.collect_list("n_tokens")).alias("w"))
-    sizes = batching.batch_sizes("w")
+    counts = rows.groupBy("qid", "n_tokens").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    packed = counts.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("n_tokens", "n"))).alias("w"))
+    sizes = batching.batch_sizes(F.col("w.n_tokens"), F.col("w.n"))
     return packed.select("qid", F.size(sizes).alias("n_batches"), F.array_max(sizes).alias("largest"))
 
 
