@@ -127,11 +127,9 @@ def is_empty(text: str | None) -> bool:
     """No content beyond blanks, marks, headings or placeholders."""
     if text is None:
         return True
-    if len(text) > 400:
-        return not any(c.isalnum() for c in text)
-    return all(w in PLACEHOLDERS for w in _LETTERS.findall(fold(_NOT_APPLICABLE.sub(" ", text)))) and not any(
-        c.isdigit() for c in text
-    )
+    if any(c.isdigit() for c in text):
+        return False
+    return all(m.group() in PLACEHOLDERS for m in _LETTERS.finditer(fold(_NOT_APPLICABLE.sub(" ", text))))
 
 
 # How a final answer is written.

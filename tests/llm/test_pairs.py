@@ -56,3 +56,8 @@ def test_table(spark):
     got = sorted(tuple(r) for r in pair_defects(df, "gen_id", "question", "text").collect())
     assert got == [(1, "copy"), (2, "empty"), (4, "truncated"), (5, "empty")]
     assert pair_defects(df.limit(0), "gen_id", "question", "text").count() == 0
+
+
+def test_placeholders_are_empty_at_every_length():
+    assert is_empty("## Answer" + "\n" * 500 + "## Solution") and is_empty("Final answer: pending\n" * 40)
+    assert not is_empty("## Answer" + "\n" * 500 + "seven")
