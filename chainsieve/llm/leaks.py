@@ -141,11 +141,14 @@ def longest_passage(
     place of the part counts for, 0 for stock words.
     """
     found: set[tuple[int, int]] = set()
+    chains: list[list[tuple[int, int]]] = []
     for i, k in hits:
         if (i, k) not in found:
-            found.update(_extend(text, part, i, k, 1), _extend(text, part, i - 1, k - 1, -1))
+            chains.append(_extend(text, part, i - 1, k - 1, -1)[::-1] + _extend(text, part, i, k, 1))
+            found.update(chains[-1])
     best = None
-    for stretch in _stretches(sorted(found)):
+    alone = [chain for chain in chains if len(chain) < len(found)]
+    for stretch in [*alone, *(s for pairs in _alignments(found) for s in _stretches(pairs))]:
         kept = _densest([p for p in stretch if weight[p[1]]])
         if not kept:
             continue
@@ -155,6 +158,18 @@ def longest_passage(
     return best
 
 
+def _alignments(found: set[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Matched places by alignment, sorted: in each the distance of the two sides goes on in steps of at most ``DRIFT``."""
+    current: list[tuple[int, int]] = []
+    for i, k in sorted(found, key=lambda p: p[0] - p[1]):
+        if current and (i - k) - (current[-1][0] - current[-1][1]) > DRIFT:
+            yield sorted(current)
+            current = []
+        current.append((i, k))
+    if current:
+        yield sorted(current)
+
+
 def _stretches(pairs: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
     """Matched places cut where the two sides drift apart; within one both only go forward."""
     current: list[tuple[int, int]] = []

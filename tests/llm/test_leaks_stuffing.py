@@ -76,6 +76,15 @@ def test_prose_of_some_items_is_no_stock_instruction():
     assert "p0" in {material.owner[n][0] for n, *_ in material.passages(material.numbered(unlocated(text)))}
 
 
+def test_an_inner_repeat_does_not_cut_a_passage():
+    refrain, tail = passage(8), passage(13)
+    item = f"{passage(5)} {refrain} {passage(30)} {passage(13)} {refrain} {tail}"
+    material = Material([("r", "question", item)])
+    text = f"{passage(30)} {' '.join(item.split()[-34:])} {passage(30)}"
+    found = material.passages(material.numbered(unlocated(text)))
+    assert [m for *_, m in found] == [34]
+
+
 def test_no_items(spark):
     items = spark.createDataFrame([], "item_id string, question string")
     pages = spark.createDataFrame([(1, passage(100))], "doc_id bigint, text string")
