@@ -41,7 +41,7 @@ def p1_profile(spark: SparkSession, root: str) -> DataFrame:
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Generations that say the same thing over and over."""
     profile = repetition.repetition_profile(table(spark, root, "eval"), ["gen_id"], "text", _ranks())
-    return profile.where(F.col("rejected") & (F.col("repeated_share") >= REPEATED)).select("gen_id").distinct()
+    return profile.where(F.col("repeated_share") >= REPEATED).select("gen_id").distinct()
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A public vocabulary first measures how each text encodes (characters per token,
 byte-fallback share, entropy of tokens and of blocks of tokens); texts outside the
-band of their script are then measured exactly: the share of the text covered by
-passages that stand in it more than once.
+band of their script are marked.  The share of the text covered by passages that
+stand in it more than once is measured exactly, on every text.
 """
 
 from __future__ import annotations
@@ -124,8 +124,8 @@ def repeated_share(text: str | None, passages: Passages | None = None) -> float:
 
 
 #: Rejection bands by script: least block-entropy deficit and greatest characters a token.
-#: A text of which 45 % are copies of passages of four words and more has a deficit of at
-#: least 0.27 bits: its repeated blocks of three tokens each stand twice or more.
+#: Marks, spacing or changed words between copies can hide them from the tokens, so the
+#: bands only mark a text.
 BANDS = {"spaced": (0.2, 5.0), "other": (0.2, 2.5)}
 #: Tokens of a block.
 BLOCK = 3
@@ -190,8 +190,7 @@ def repetition_profile(df: DataFrame, keys: list[str], text: str, ranks: dict[by
     """``keys`` and the encoding measures and repeated share of ``text`` of every row.
 
     ``rejected`` says that a measure lies outside the band of the text's script;
-    ``repeated_share`` is measured on those rows and 0 on the others, whose entropy
-    leaves no room for so much repetition.  Null and empty texts have 0 tokens and
+    ``repeated_share`` is measured on every row, whatever its entropy.  Null and empty texts have 0 tokens and
     share 0.  Texts are read whole; rows are independent, so nothing is shuffled.
     """
     shared = df.sparkSession.sparkContext.broadcast(ranks)  # as large as the vocabulary
@@ -215,7 +214,7 @@ def repetition_profile(df: DataFrame, keys: list[str], text: str, ranks: dict[by
             low = np.where(script == "other", BANDS["other"][0], BANDS["spaced"][0])
             high = np.where(script == "other", BANDS["other"][1], BANDS["spaced"][1])
             rejected = (measure["deficit"] >= low) | (per_token > high)
-            share = [repeated_share(t, passages) if r else 0.0 for t, r in zip(texts, rejected)]
+            share = [repeated_share(t, passages) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[: len(keys)],

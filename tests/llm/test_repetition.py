@@ -1,3 +1,5 @@
+import random
+
 from chainsieve.llm.repetition import repeated_share, repetition_profile
 
 PLAIN = (
@@ -56,3 +58,12 @@ def test_no_repeated_half_passes_the_band(spark, ranks):
     df = spark.createDataFrame([(1, text)], "gen_id bigint, text string")
     row = repetition_profile(df, ["gen_id"], "text", ranks).first()
     assert repeated_share(text) >= 0.45 and row.rejected and row.repeated_share >= 0.45
+
+
+def test_share_is_measured_on_every_row(spark, ranks):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    lone, twice = [word() for _ in range(180)], [word() for _ in range(8)]
+    text = " ".join(lone[:90] + twice + lone[90:] + twice)
+    row = repetition_profile(spark.createDataFrame([(1, text)], "gen_id bigint, text string"), ["gen_id"], "text", ranks).first()
+    assert not row.rejected and 0.02 < row.repeated_share == repeated_share(text)
