@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import gc
 import time as clock
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,25 +25,27 @@ from chainsieve.llm.components import connected_components
 from chainsieve.llm.words import words
 from chainsieve.session import checkpoint_dir
 
-#: Passes, each with a signature of its own, so that only the rows of one pass lie on
-#: disk at a time; bands of a pass and places in each.  A pair that agrees to three quarters
-#: has weighted Jaccard 0.6 at least, one that agrees to nine tenths 0.81.
-PASSES, BANDS, ROWS = 3, 30, 5
-#: Share of equal places from which two sketches are taken for similar, and how many of the
-#: ``CARRIED`` places a bucket row carries (by two bits each) must agree to be a candidate.
-ALIKE, CARRIED, CARRIED_ALIKE = 0.45, 60, 35
+#: Passes, each with signatures of its own, so that only the entries of one pass lie on
+#: disk at a time; bands of a pass and places of a band.  A pair that agrees to three
+#: quarters has weighted Jaccard 0.6 at least, one that agrees to nine tenths 0.81.
+PASSES, BANDS, ROWS = 2, 36, 5
+#: Places of which an entry carries one bit each, and how many of them must be equal.  Of
+#: two texts of similarity 0.6 in the mean 102 are, of two of similarity 0.2 in the mean 77.
+CARRIED, CARRIED_ALIKE = 128, 92
+#: Places of a text's sketch, one byte each, and the share that must be equal.
+SKETCH, ALIKE = 64, 0.45
 #: Share of equal places from which a row of a batch may stand for another one in a bucket:
 #: what is like the one is then like the other.
 SAME = 0.9
-#: Places of a text's sketch, one byte each; candidates must agree in the share ALIKE of them.
-SKETCH = 128
-#: Bits of a bucket's key; what shares a key by chance does not agree in the carried places.
-KEY_BITS = 40
+#: Lengths share a cell of a band up to this ratio; where its edges lie differs from band to band.
+CELL = 2.0
+#: Bytes of source that one task of the bucket stage is given the entries of.
+PART_BYTES = 4 << 20
 #: Texts whose words agree to this share are near-duplicates: cases agree to 0.75 and
 #: more, all other pairs to less than 0.70.
 AGREE = 0.725
-#: Members of one block of a group, and members a shuffle-free join may send to every task.
-BLOCK, SENT = 256, 2_000_000
+#: Members of one block of a group.
+BLOCK = 256
 
 _G1, _G2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -131,44 +132,32 @@ def _distinct(a: np.ndarray, b: np.ndarray, inverse: bool = False):
     return pairs, back
 
 
-def carried(signature: np.ndarray, words_in: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Per row and band two numbers: two bits of each of the ``CARRIED`` places after the band, and a code of the length."""
-    low = _mix(signature.view(np.uint64)) & np.uint64(3)
-    code = np.minimum(np.log(np.maximum(words_in, 1)) * 20, 255).astype(np.uint64)
-    numbers = np.zeros((len(signature), bands, 2), np.uint64)
-    after = (np.arange(bands) + 1) * rows
-    for k in range(CARRIED):
-        numbers[:, :, k % 2] |= low[:, (after + k) % low.shape[1]] << np.uint64(k // 2 * 2)
-    numbers[:, :, 0] |= (code & np.uint64(15))[:, None] << np.uint64(60)
-    numbers[:, :, 1] |= (code >> np.uint64(4))[:, None] << np.uint64(60)
-    return numbers
+#: One entry of a bucket: what is left of its key, the text's node, and the carried bits.
+ENTRY = np.dtype([("key", "<u4"), ("node", "<i8"), ("bits", "<u8", (CARRIED // 64,))])
+#: One near-certain link, and one sketch.
+TIE = np.dtype([("a", "<i8"), ("b", "<i8")])
+DRAWN = np.dtype([("node", "<i8"), ("sketch", "u1", (SKETCH,))])
 
 
-_FIELDS = np.uint64(0x0555555555555555)
+def bits_of(signature: np.ndarray) -> np.ndarray:
+    """One bit of each of the first ``CARRIED`` places, in 64-bit numbers."""
+    low = (_mix(signature[:, :CARRIED].view(np.uint64)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(low, axis=1).view("<u8")
 
 
-def may_agree(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Whether two rows' carried numbers allow them to be near-duplicates."""
-    differ = np.zeros(len(a[0]), np.uint8)
-    code = [np.zeros(len(a[0]), np.int64), np.zeros(len(a[0]), np.int64)]
-    for k in (0, 1):
-        x, y = a[k].view(np.uint64), b[k].view(np.uint64)
-        differ += np.bitwise_count(((x ^ y) | ((x ^ y) >> np.uint64(1))) & _FIELDS)
-        for c, z in zip(code, (x, y)):
-            c += (z >> np.uint64(60)).astype(np.int64) << (4 * k)
-    # Lengths that agree to 0.7 lie at most 8 apart in code.
-    return (differ <= CARRIED - CARRIED_ALIKE) & (np.abs(code[0] - code[1]) <= 8)
+def length_cells(lengths: np.ndarray, bands: int) -> np.ndarray:
+    """Row and band -> cell of the row's length; the edges of the cells are drawn for every band."""
+    edge = (_mix(np.arange(1, bands + 1, dtype=np.uint64) * _G2) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return np.floor((np.log(np.maximum(lengths, 1)) / np.log(CELL))[:, None] + edge).astype(np.uint64)
 
 
-def _bucket_rows(bands: int, rows: int, turn: int = 0, batch_rows: int = 10_000):
-    """Batches of (node, text) -> rows (key, node, carried, tie, sketch, more).
+def _entries(parts: int, bands: int, rows: int, turn: int, collapse: bool, batch_rows: int = 10_000):
+    """Batches of (node, text) -> rows (part, kind, blob): entries, links and sketches, packed.
 
-    One row per band and batch, or a link, and in the first turn one row with the sketch of every text.
-
-    Of the rows of a batch that share a key and are almost the same only the first goes
-    on under it; the others are linked to that one here (``tie``, with the other node
-    in ``carried``).  So a bucket that holds a large part of all rows reaches no task
-    as more than a few rows per batch.
+    A text has one entry per band, all entries of a bucket go to one part.  Of the rows
+    of a batch that share a bucket and are almost the same only the first goes on
+    under it (``collapse``); the others are linked to that one here.  So a bucket that
+    holds a large part of all rows reaches no task as more than a few entries per batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,96 +172,106 @@ def _bucket_rows(bands: int, rows: int, turn: int = 0, batch_rows: int = 10_000)
                 node, lengths, n = node[full], lengths[full], int(full.sum())
                 if not n:
                     continue
-                own_points = _mix(element + np.uint64(turn * int(_G2) & 0xFFFFFFFFFFFFFFFF)) if turn else element
-                signature = signatures(place[row], own_points, n, max(bands * rows, SKETCH))
-                keys = band_keys(signature[:, : bands * rows].copy(), bands, rows).reshape(-1)
-                keys = (keys + np.uint64(turn)) << np.uint64(64 - KEY_BITS)
-                number = carried(signature, lengths, bands, rows).reshape(-1, 2).view(np.int64)
+                own = _mix(element + np.uint64(turn * int(_G2) & 0xFFFFFFFFFFFFFFFF)) if turn else element
+                signature = signatures(place[row], own, n, max(bands * rows, CARRIED, SKETCH))
+                keys = band_keys(signature[:, : bands * rows].copy(), bands, rows)
+                keys = _mix(keys + length_cells(lengths, bands) * _G1).reshape(-1)
                 mine = np.repeat(np.arange(n), bands)
-                _, first, back = np.unique(keys, return_index=True, return_inverse=True)
-                lead = mine[first][back]
-                behind = np.flatnonzero(lead != mine)
-                pair, of = _distinct(mine[behind], lead[behind], inverse=True)
-                alike = np.zeros(pair.shape[1], bool)
-                for lo in range(0, pair.shape[1], 20_000):
-                    a, b = pair[:, lo : lo + 20_000]
-                    alike[lo : lo + 20_000] = (signature[a] == signature[b]).mean(axis=1) >= SAME
-                goes_on = np.ones(len(keys), bool)
-                goes_on[behind[alike[of]]] = False
-                ties = node[pair[:, alike]]
-                own = _mix(ties[0].astype(np.uint64) * _G1 + ties[1].astype(np.uint64))
-                some = (_mix(signature[:, :SKETCH].view(np.uint64)) & np.uint64(255)).astype(np.uint8)
-                whose = node[mine[goes_on]]
-                if turn:
-                    node, some = node[:0], some[:0]
-                m, t, n = int(goes_on.sum()), ties.shape[1], len(node)
+                goes_on, ties = np.ones(len(keys), bool), np.zeros((2, 0), np.int64)
+                if collapse:
+                    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+                    lead = mine[first][back]
+                    behind = np.flatnonzero(lead != mine)
+                    pair, of = _distinct(mine[behind], lead[behind], inverse=True)
+                    alike = np.zeros(pair.shape[1], bool)
+                    for lo in range(0, pair.shape[1], 20_000):
+                        a, b = pair[:, lo : lo + 20_000]
+                        alike[lo : lo + 20_000] = (signature[a] == signature[b]).mean(axis=1) >= SAME
+                    goes_on[behind[alike[of]]] = False
+                    ties = node[pair[:, alike]]
+                entry = np.zeros(int(goes_on.sum()), ENTRY)
+                entry["key"] = keys[goes_on] & np.uint64(0xFFFFFFFF)
+                entry["node"] = node[mine[goes_on]]
+                entry["bits"] = bits_of(signature)[mine[goes_on]]
+                where = ((keys[goes_on] >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(where, kind="stable")
+                entry, where = entry[order], where[order]
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(where)]])
+                out = [(where[lo], 0, entry[lo:hi].tobytes()) for lo, hi in zip(edges[:-1], edges[1:]) if hi > lo]
+                home = int(_mix(node[:1].astype(np.uint64))[0] % np.uint64(parts))
+                if ties.shape[1]:
+                    tie = np.zeros(ties.shape[1], TIE)
+                    tie["a"], tie["b"] = ties
+                    out.append((home, 1, tie.tobytes()))
+                if not turn:
+                    drawn = np.zeros(n, DRAWN)
+                    drawn["node"] = node
+                    drawn["sketch"] = (_mix(signature[:, :SKETCH].view(np.uint64)) & np.uint64(255)).astype(np.uint8)
+                    out.append((home, 2, drawn.tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([keys[goes_on], own, _mix(node.astype(np.uint64))]).view(np.int64)),
-                        pa.array(np.concatenate([whose, ties[0], node])),
-                        pa.array(np.concatenate([number[goes_on, 0], ties[1], np.zeros(n, np.int64)])),
-                        pa.array((np.arange(m + t + n) >= m) & (np.arange(m + t + n) < m + t)),
-                        pa.array([None] * (m + t) + [row.tobytes() for row in some], pa.binary()),
-                        pa.array(np.concatenate([number[goes_on, 1], np.zeros(t + n, np.int64)])),
-                    ],
-                    names=BUCKETS.split()[::2],
+                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int8(), pa.binary()))],
+                    names=["part", "kind", "blob"],
                 )
 
     return run
 
 
-BUCKETS = "key bigint, node bigint, carried bigint, tie boolean, sketch binary, more bigint"
+def _links(cross: bool):
+    """All blobs of a part -> candidate links ``a > b``; sketches pass through as ``a`` with their bytes.
 
+    Every entry is compared with all others of its bucket, ``cross``: with those of the
+    other side, which the lowest bit of a node tells.
+    """
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of whole buckets -> candidate links ``a > b``; sketches pass through as ``a`` with their bytes.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries, found = [], [np.zeros((2, 0), np.int64)]
+        for batch in batches:
+            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2)):
+                data = blob.as_buffer()
+                if kind == 0:
+                    entries.append(np.frombuffer(data, ENTRY))
+                elif kind == 1:
+                    tie = np.frombuffer(data, TIE)
+                    found.append(np.stack([tie["a"], tie["b"]]))
+                else:
+                    drawn = np.frombuffer(data, DRAWN)
+                    flat = pa.array([x.tobytes() for x in drawn["sketch"]], pa.binary())
+                    yield _link_batch(drawn["node"].copy(), None, flat)
+        if entries:
+            entry = np.concatenate(entries)
+            entries.clear()
+            order = np.argsort(entry["key"], kind="stable")
+            key = entry["key"][order]
+            start = np.ones(len(key), bool)
+            start[1:] = key[1:] != key[:-1]
+            shared = ~(start & np.append(start[1:], True))
+            order, start = order[shared], start[shared]
+            if len(order):
+                node, bits = entry["node"][order], np.ascontiguousarray(entry["bits"][order].T)
+                head = np.flatnonzero(start)[np.cumsum(start) - 1]
+                place = np.arange(len(order)) - head
+                at = np.flatnonzero(place)
+                for back in range(1, int(place.max()) + 1):
+                    at = at[place[at] >= back]
+                    for lo in range(0, len(at), 100_000):
+                        one = at[lo : lo + 100_000]
+                        other = one - back
+                        differ = sum(np.bitwise_count(word[one] ^ word[other]).astype(np.int16) for word in bits)
+                        near = np.flatnonzero(differ <= CARRIED - CARRIED_ALIKE)
+                        a, b = node[one[near]], node[other[near]]
+                        ok = ((a ^ b) & 1 == 1) if cross else a != b
+                        found.append(np.stack([a[ok], b[ok]]))
+        a, b = np.concatenate(found, axis=1)
+        pair = _distinct(np.maximum(a, b), np.minimum(a, b))
+        yield _link_batch(pair[0], pair[1], None)
 
-    Every row is compared with all others of its bucket.  A task holds the rows of its
-    shuffle partition as flat columns, 33 bytes a row, and sorts them itself.
-    """
-    columns: list[list[np.ndarray]] = [[], [], [], [], []]
-    nothing = pa.array([], pa.int64())
-    for batch in batches:
-        has = batch.column(4).is_valid()
-        sketched = batch.filter(has)
-        if sketched.num_rows:
-            none = pa.array([None] * sketched.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([sketched.column(1), none, sketched.column(4)], names=["a", "b", "sketch"])
-        plain = batch.filter(pc.invert(has))
-        for column, k in zip(columns, (0, 1, 2, 3, 5)):
-            part = plain.column(k)
-            column.append(part.to_numpy(zero_copy_only=False))
-    if not columns[0]:
-        yield pa.RecordBatch.from_arrays([nothing, nothing, pa.array([], pa.binary())], names=["a", "b", "sketch"])
-        return
-    key, node, number, tie, more = (np.concatenate(c) for c in columns)
-    columns.clear()
-    tie = tie.astype(bool)
-    found = [(node[tie], number[tie])]
-    key, node, number, more = key[~tie], node[~tie], number[~tie], more[~tie]
-    order = np.argsort(key)
-    start = np.ones(len(key), bool)
-    start[1:] = key[order][1:] != key[order][:-1]
-    single = start & np.append(start[1:], True)
-    order, start = order[~single], start[~single]
-    if len(order):
-        bucket = np.cumsum(start) - 1
-        node, number, more = node[order], number[order], more[order]
-        head = np.flatnonzero(start)[bucket]
-        place = np.arange(len(order)) - head
-        at = np.flatnonzero(place)
-        for back in range(1, int(place.max()) + 1):
-            at = at[place[at] >= back]
-            for lo in range(0, len(at), 100_000):
-                one = at[lo : lo + 100_000]
-                other = one - back
-                ok = may_agree((number[one], more[one]), (number[other], more[other]))
-                ok &= node[one] != node[other]
-                found.append((node[one[ok]], node[other[ok]]))
-    a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-    pair = _distinct(np.maximum(a, b), np.minimum(a, b))
-    nulls = pa.array([None] * pair.shape[1], pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), nulls], names=["a", "b", "sketch"])
+    return run
+
+
+def _link_batch(a: np.ndarray, b: np.ndarray | None, sketch: pa.Array | None) -> pa.RecordBatch:
+    b = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)
+    sketch = pa.nulls(len(a), pa.binary()) if sketch is None else sketch
+    return pa.RecordBatch.from_arrays([pa.array(a), b, sketch], names=["a", "b", "sketch"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,6 +284,13 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
 
+def _parts(df: DataFrame) -> int:
+    """Tasks of the bucket stage: as many as the size of the source asks for, where it is known."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-size // PART_BYTES)) if size < 1 << 50 else least
+
+
 def _free(df: DataFrame) -> None:
     """Lets the driver drop the shuffle files of a pass before the next one writes its own."""
     gc.collect()
@@ -292,21 +298,27 @@ def _free(df: DataFrame) -> None:
     clock.sleep(1)
 
 
-def candidate_links(df: DataFrame, node: str, text: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Distinct links ``a > b`` between 64-bit ``node`` numbers whose texts share a band and whose sketches agree.
+def candidate_links(
+    df: DataFrame, node: str, text: str, bands: int = BANDS, rows: int = ROWS, cross: bool = False
+) -> DataFrame:
+    """Distinct links ``a > b`` between 64-bit ``node`` numbers whose texts share a bucket and whose sketches agree.
 
-    Within a bucket every row is compared with every other.  Texts that share a band
-    by chance do not pass the sketch, so groups do not grow together as the collection
-    grows.  Null, empty and wordless texts have no links.
+    Within a bucket every entry is compared with every other.  Texts that share a
+    bucket by chance pass neither the carried bits nor the sketch, so groups do not
+    grow together as the collection grows.  ``cross``: only links between even and
+    odd nodes.  Null, empty and wordless texts have no links.
     """
     checkpoint_dir(df.sparkSession)
-    parts = []
+    source = df.select(node, text)
+    parts = _parts(source)
+    turns = []
     for turn in range(PASSES):
-        buckets = df.select(node, text).mapInArrow(_bucket_rows(bands, rows, turn), BUCKETS)
-        parts.append(buckets.repartition("key").mapInArrow(_links, "a bigint, b bigint, sketch binary").checkpoint())
-        del buckets
+        packed = source.mapInArrow(_entries(parts, bands, rows, turn, not cross), "part int, kind tinyint, blob binary")
+        placed = packed.repartitionById(parts, F.col("part"))
+        turns.append(placed.mapInArrow(_links(cross), "a bigint, b bigint, sketch binary").checkpoint())
+        del packed, placed
         _free(df)
-    found = reduce(DataFrame.unionByName, parts)
+    found = reduce(DataFrame.unionByName, turns)
     links = found.where("b is not null").select("a", "b").distinct()
     sketch = found.where("b is null").groupBy("a").agg(F.first("sketch").alias("sketch"))
     both = links.join(sketch.withColumnRenamed("sketch", "sa"), "a").join(
@@ -316,14 +328,14 @@ def candidate_links(df: DataFrame, node: str, text: str, bands: int = BANDS, row
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, id, text) -> (group, id, the text's elements as sorted 32-bit numbers)."""
+    """Columns and a text at last -> the same columns and the text's elements as sorted 64-bit numbers."""
     for batch in batches:
-        row, element = bags(batch.column(2).to_pylist())
-        short = (element >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        order = np.lexsort((short, row))
+        row, element = bags(batch.column(batch.num_columns - 1).to_pylist())
+        number = element.view(np.int64)
+        order = np.lexsort((number, row))
         offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(short[order]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["grp", "id", "bag"])
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(number[order]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], "bag"])
 
 
 def agreeing(bag: list[np.ndarray], side: np.ndarray, agree: float) -> Iterator[tuple[int, int]]:
@@ -350,24 +362,44 @@ def agreeing(bag: list[np.ndarray], side: np.ndarray, agree: float) -> Iterator[
     yield from zip(*(x.tolist() for x in np.nonzero(hit)))
 
 
-def _pairs(agree: float):
-    """Rows sorted by group, pair of blocks and id -> agreeing pairs of ids."""
+def _compared(agree: float, pairs: bool):
+    """Rows sorted by group, pair of blocks and id -> agreeing pairs of ids, or what classes need of them.
 
-    def flush(rows: list[tuple[str, np.ndarray, int]]) -> set[tuple[str, str]]:
-        found: set[tuple[str, str]] = set()
+    ``pairs``: every pair (``id``, ``other``).  Else one row for every link of a spanning
+    forest, and one with a null ``other`` and the number ``n`` of its partners for every id
+    that has any: no more rows than come in.
+    """
+
+    def flush(rows: list[tuple[str, np.ndarray, int]]) -> list[tuple[str, str | None, int]]:
         if len(rows) < 2:
-            return found
+            return []
         side = np.array([s for _, _, s in rows])
-        for i, j in agreeing([b for _, b, _ in rows], side, agree):
-            a, b = rows[i][0], rows[j][0]
-            if a != b:
-                found.add((min(a, b), max(a, b)))
-        return found
+        found = {
+            (min(a, b), max(a, b))
+            for i, j in agreeing([b for _, b, _ in rows], side, agree)
+            if (a := rows[i][0]) != (b := rows[j][0])
+        }
+        if pairs:
+            return [(a, b, 1) for a, b in sorted(found)]
+        partners: Counter = Counter(x for pair in found for x in pair)
+        root = {x: x for x in partners}
+
+        def top(x: str) -> str:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out: list[tuple[str, str | None, int]] = [(x, None, n) for x, n in partners.items()]
+        for a, b in found:
+            if (x := top(a)) != (y := top(b)):
+                root[max(x, y)] = min(x, y)
+                out.append((a, b, 0))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
         for batch in batches:
-            out: list[tuple[str, str]] = []
+            out: list[tuple] = []
             lists = batch.column(5)
             flat = lists.values.to_numpy(zero_copy_only=False)
             offsets = lists.offsets.to_numpy()
@@ -376,7 +408,7 @@ def _pairs(agree: float):
                 zip(heads, batch.column(4).to_pylist(), batch.column(3).to_pylist())
             ):
                 if head != group:
-                    out += sorted(flush(rows))
+                    out += flush(rows)
                     group, rows = head, []
                 bag = flat[offsets[k] : offsets[k + 1]].copy()
                 if rows and rows[-1][0] == name and np.array_equal(rows[-1][1], bag):
@@ -385,14 +417,15 @@ def _pairs(agree: float):
             if out:
                 yield _pair_batch(out)
         if rows:
-            yield _pair_batch(sorted(flush(rows)))
+            yield _pair_batch(flush(rows))
 
     return run
 
 
-def _pair_batch(pairs: list[tuple[str, str]]) -> pa.RecordBatch:
-    columns = [pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)]
-    return pa.RecordBatch.from_arrays(columns, names=["id_a", "id_b"])
+def _pair_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int64())
+    columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "other", "n"])
 
 
 def similar_groups(df: DataFrame, key: str, text: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -402,20 +435,12 @@ def similar_groups(df: DataFrame, key: str, text: str, bands: int = BANDS, rows:
     return connected_components(spark, candidate_links(numbered, "node", "text", bands, rows))
 
 
-def near_duplicate_pairs(df: DataFrame, key: str, text: str, agree: float = AGREE) -> DataFrame:
-    """``id_a < id_b``: different keys whose texts have ``agree`` of the longer one's words in common.
-
-    The order of the words is ignored.  Signatures only gather the texts into
-    groups; every pair within a group is then counted exactly, in blocks, so no
-    link between texts of one group is lost.  Null, empty and wordless texts are
-    in no pair; repeated rows count once; exact copies are pairs like others.
-    Keys compare by code points; null keys take no part.
-    """
+def _within_groups(df: DataFrame, key: str, text: str, agree: float, pairs: bool) -> DataFrame:
+    """Every two texts of a group compared exactly, in blocks: rows of ``_compared``."""
     source = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
     members = similar_groups(source, "id", "text")
-    small = members.count() <= SENT
-    rows = source.withColumn("node", F.xxhash64("id")).join(F.broadcast(members) if small else members, "node")
-    found = rows.select("grp", "id", "text").mapInArrow(_elements, "grp bigint, id string, bag array<int>")
+    rows = source.withColumn("node", F.xxhash64("id")).join(members, "node")
+    found = rows.select("grp", "id", "text").mapInArrow(_elements, "grp bigint, id string, bag array<bigint>")
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * BLOCK)
     blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
     placed = found.join(sizes, "grp", "left").withColumn("blocks", blocks)
@@ -429,7 +454,20 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, agree: float = AGRE
         "bag",
     )
     ordered = copies.repartition("grp", "low", "high").sortWithinPartitions("grp", "low", "high", "id")
-    return ordered.mapInArrow(_pairs(agree), "id_a string, id_b string")
+    return ordered.mapInArrow(_compared(agree, pairs), "id string, other string, n bigint")
+
+
+def near_duplicate_pairs(df: DataFrame, key: str, text: str, agree: float = AGREE) -> DataFrame:
+    """``id_a < id_b``: different keys whose texts have ``agree`` of the longer one's words in common.
+
+    The order of the words is ignored.  Signatures only gather the texts into
+    groups; every pair within a group is then counted exactly, in blocks, so no
+    link between texts of one group is lost.  Null, empty and wordless texts are
+    in no pair; repeated rows count once; exact copies are pairs like others.
+    Keys compare by code points; null keys take no part.
+    """
+    found = _within_groups(df, key, text, agree, True)
+    return found.select(F.col("id").alias("id_a"), F.col("other").alias("id_b"))
 
 
 def near_duplicate_classes(df: DataFrame, key: str, text: str, agree: float = AGREE) -> DataFrame:
@@ -437,16 +475,15 @@ def near_duplicate_classes(df: DataFrame, key: str, text: str, agree: float = AG
 
     ``class_id`` is the least key among those reached through near-duplicate pairs,
     the key itself where there are none; ``n_links`` is the number of its own pairs.
+    Pairs are counted where they are compared and never written out: a block gives
+    a spanning forest of its links and a count per key.
     """
-    spark = df.sparkSession
-    pairs = near_duplicate_pairs(df, key, text, agree)
-    checkpoint_dir(spark)
-    pairs = pairs.checkpoint()
-    numbered = pairs.select(F.xxhash64("id_a").alias("x"), F.xxhash64("id_b").alias("y"))
+    checkpoint_dir(df.sparkSession)
+    found = _within_groups(df, key, text, agree, False).checkpoint()
+    numbered = found.where("other is not null").select(F.xxhash64("id").alias("x"), F.xxhash64("other").alias("y"))
     links = numbered.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    classes = connected_components(spark, links)
-    ends = pairs.select(F.col("id_a").alias("id")).unionByName(pairs.select(F.col("id_b").alias("id")))
-    linked = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n")).withColumn("node", F.xxhash64("id"))
+    classes = connected_components(df.sparkSession, links)
+    linked = found.where("other is null").groupBy("id").agg(F.sum("n").alias("n")).withColumn("node", F.xxhash64("id"))
     named = linked.join(classes, "node")
     least = named.groupBy("grp").agg(F.min("id").alias("class_id"))
     found = named.join(least, "grp").select(F.col("id").alias("_id"), "class_id", "n")
@@ -454,3 +491,24 @@ def near_duplicate_classes(df: DataFrame, key: str, text: str, agree: float = AG
     return every.join(found, F.col(key) == F.col("_id"), "left").select(
         key, F.coalesce("class_id", key).alias("class_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links")
     )
+
+
+def pairs_across(rows: DataFrame, node: str, text: str, agree: float = AGREE) -> DataFrame:
+    """``even`` and ``odd``: nodes of two sides whose texts agree; the lowest bit of a node tells its side.
+
+    Only entries of different sides are ever compared, and every pair found is
+    counted exactly.  Nodes must be unique; null and wordless texts match nothing.
+    """
+    links = candidate_links(rows, node, text, cross=True).select(
+        F.when(F.col("a").bitwiseAND(1) == 0, F.col("a")).otherwise(F.col("b")).alias("even"),
+        F.when(F.col("a").bitwiseAND(1) == 0, F.col("b")).otherwise(F.col("a")).alias("odd"),
+    )
+    links = links.checkpoint()
+    ends = links.select(F.col("even").alias("end")).unionByName(links.select(F.col("odd").alias("end"))).distinct()
+    needed = rows.select(node, text).join(ends, F.col(node) == F.col("end"), "left_semi")
+    bag = needed.mapInArrow(_elements, f"`{node}` bigint, bag array<bigint>").withColumnRenamed(node, "end")
+    both = links.join(bag.select(F.col("end").alias("even"), F.col("bag").alias("x")), "even").join(
+        bag.select(F.col("end").alias("odd"), F.col("bag").alias("y")), "odd"
+    )
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= F.lit(agree) * F.greatest(F.size("x"), F.size("y"))).select("even", "odd")

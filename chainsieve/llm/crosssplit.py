@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainsieve.llm.bagminhash import AGREE, near_duplicate_pairs
+from chainsieve.llm.bagminhash import AGREE, pairs_across
+from chainsieve.session import checkpoint_dir
 
 
 def canonical(text: Column) -> Column:
@@ -33,20 +34,23 @@ def cross_split(
     """Rows of both sides whose texts are equal or agree in ``agree`` of the longer one's words.
 
     Gives all ``keep`` columns of both sides (their names must differ), distinct.
-    Records are hashed in canonical form, so copies are compared once: equal
-    hashes join at once, the distinct records are compared by their words.  Null,
-    empty and wordless texts match nothing; null keys are kept like values.
+    Records are brought into canonical form once and hashed: equal hashes join at
+    once; the distinct records of the two sides are compared across, never within
+    a side.  Null, empty and wordless texts match nothing; null keys are kept like
+    values.
     """
-    a, b = _records(left, text, keep[0]), _records(right, text, keep[1])
-    owners_a, owners_b = a.drop("canon"), b.drop("canon")
-    sides = a.select("hash", "canon").unionByName(b.select("hash", "canon")).groupBy("hash").agg(F.min("canon").alias("canon"))
-    near = near_duplicate_pairs(sides, "hash", "canon", agree)
-    both = near.unionByName(near.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
-    almost = (
-        owners_a.join(both.withColumnsRenamed({"id_a": "hash", "id_b": "other"}), "hash")
-        .drop("hash")
-        .join(owners_b.withColumnRenamed("hash", "other"), "other")
-    )
+    checkpoint_dir(left.sparkSession)
+    a = _records(left, text, keep[0]).withColumn("side", F.lit(0))
+    b = _records(right, text, keep[1]).withColumn("side", F.lit(1))
+    cut = a.unionByName(b, allowMissingColumns=True).checkpoint()
+    owners_a = cut.where("side = 0").select("hash", *keep[0])
+    owners_b = cut.where("side = 1").select("hash", *keep[1])
+    node = F.shiftleft(F.xxhash64("hash"), 1) + F.col("side")
+    distinct = cut.groupBy("hash", "side").agg(F.min("canon").alias("canon")).withColumn("node", node)
+    near = pairs_across(distinct.select("node", "canon"), "node", "canon", agree)
+    marked_a = owners_a.withColumn("even", F.shiftleft(F.xxhash64("hash"), 1)).drop("hash")
+    marked_b = owners_b.withColumn("odd", F.shiftleft(F.xxhash64("hash"), 1) + 1).drop("hash")
+    almost = marked_a.join(near, "even").join(marked_b, "odd")
     exact = owners_a.join(owners_b, "hash")
     names = [*keep[0], *keep[1]]
     return almost.select(*names).unionByName(exact.select(*names)).distinct()

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,39 +65,60 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def entries(texts, parts=3, turn=0, collapse=True):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["node", "text"])
+    (out,) = B._entries(parts, B.BANDS, B.ROWS, turn, collapse)([batch])
+    return [(r["part"], r["kind"], r["blob"]) for r in out.to_pylist()]
+
+
 def test_hot_bucket_leaves_a_batch_as_one_row():
-    import pyarrow as pa
+    rows = entries(["one and the same text of eight words"] * 500)
+    assert sum(len(np.frombuffer(b, B.ENTRY)) for _, k, b in rows if k == 0) == B.BANDS
+    assert sum(len(np.frombuffer(b, B.TIE)) for _, k, b in rows if k == 1) == 499
 
-    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(["one and the same text of eight words"] * 500)], names=["node", "text"])
-    (out,) = B._bucket_rows(B.BANDS, B.ROWS)([batch])
-    tie = np.array(out.column(3))[: -500]
-    assert (~tie).sum() == B.BANDS and tie.sum() == 499
+
+def lone_pairs(rng, n, agree, size=100):
+    """``n`` pairs of equally long texts that agree to exactly ``agree``, with no third text alike."""
+    for i in range(n):
+        base = [f"x{rng.randrange(10**9)}" for _ in range(size)]
+        kept = round(agree * size)
+        other = base[:kept] + [f"x{rng.randrange(10**9)}" for _ in range(size - kept)]
+        rng.shuffle(other)
+        yield i, " ".join(base), " ".join(other)
 
 
 def test_lone_pairs_at_three_quarters_are_found(spark):
-    rng = random.Random(5)
     rows, want = [], set()
-    for i in range(300):
-        base = [f"x{rng.randrange(10**9)}" for _ in range(100)]
-        other = base[:75] + [f"x{rng.randrange(10**9)}" for _ in range(25)]
-        rng.shuffle(other)
-        rows += [(f"a{i}", " ".join(base)), (f"b{i}", " ".join(other))]
+    for i, base, other in lone_pairs(random.Random(5), 300, 0.75):
+        rows += [(f"a{i}", base), (f"b{i}", other)]
         want.add((f"a{i}", f"b{i}"))
     got = {tuple(r) for r in B.near_duplicate_pairs(spark.createDataFrame(rows, "id string, text string"), "id", "text").collect()}
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
-def test_full_buckets_are_compared_completely():
-    import pyarrow as pa
+@pytest.mark.parametrize(("agree", "least"), [(0.75, 0.98), (0.78, 0.99), (0.80, 0.995)])
+def test_lone_pairs_across_splits_are_found(spark, agree, least):
+    found = list(lone_pairs(random.Random(int(agree * 100)), 300, agree))
+    left = spark.createDataFrame([(f"e{i}", a) for i, a, _ in found], "e string, q string")
+    right = spark.createDataFrame([(f"t{i}", b) for i, _, b in found], "t string, q string")
+    got = {(r.e, r.t) for r in cross_split(left, right, "q", (["e"], ["t"])).collect()}
+    want = {(f"e{i}", f"t{i}") for i, _, _ in found}
+    assert got <= want and len(got) >= least * len(want)
 
+
+def test_full_buckets_are_compared_completely():
     rng = np.random.default_rng(3)
-    n = 60
-    number, more = (rng.integers(0, 2**60, n, np.int64) for _ in range(2))
-    number[-3], more[-3] = number[2], more[2]
-    empty = pa.array([None] * n, pa.binary())
-    columns = [pa.array(np.full(n, 7)), pa.array(np.arange(n)), pa.array(number), pa.array([False] * n), empty, pa.array(more)]
-    (out,) = B._links([pa.RecordBatch.from_arrays(columns, names=B.BUCKETS.split()[::2])])
-    assert list(zip(out.column(0).to_pylist(), out.column(1).to_pylist())) == [(n - 3, 2)]
+    entry = np.zeros(60, B.ENTRY)
+    entry["node"] = np.arange(60)
+    entry["bits"] = rng.integers(0, 2**63, entry["bits"].shape)
+    entry["bits"][-3] = entry["bits"][2]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0], pa.int32()), pa.array([0], pa.int8()), pa.array([entry.tobytes()])], names=["part", "kind", "blob"]
+    )
+    (out,) = B._links(False)([batch])
+    assert list(zip(out.column(0).to_pylist(), out.column(1).to_pylist())) == [(57, 2)]
+    (across,) = B._links(True)([batch])
+    assert list(zip(across.column(0).to_pylist(), across.column(1).to_pylist())) == [(57, 2)]
 
 
 def test_classes(spark):
