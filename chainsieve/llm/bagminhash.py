@@ -10,19 +10,18 @@ from __future__ import annotations
 
 import gc
 import time as clock
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainsieve.llm.components import connected_components
-from chainsieve.llm.words import words
 from chainsieve.session import checkpoint_dir
 
 #: Passes, each with signatures of its own, so that only the entries of one pass lie on
@@ -31,7 +30,7 @@ from chainsieve.session import checkpoint_dir
 PASSES, BANDS, ROWS = 2, 36, 5
 #: Places of which an entry carries one bit each, and how many of them must be equal.  Of
 #: two texts of similarity 0.6 in the mean 102 are, of two of similarity 0.2 in the mean 77.
-CARRIED, CARRIED_ALIKE = 128, 92
+CARRIED, CARRIED_ALIKE = 128, 94
 #: Places of a text's sketch, one byte each, and the share that must be equal.
 SKETCH, ALIKE = 64, 0.45
 #: Share of equal places from which a row of a batch may stand for another one in a bucket:
@@ -57,23 +56,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and element of every unit of weight: the n-th copy of a word is an element of its own."""
-    numbers: defaultdict[str, int] = defaultdict(count().__next__)
-    rows, units = [], []
-    for text in texts:
-        found = words(text) if text else []
-        rows.append(len(found))
-        units.extend(map(numbers.__getitem__, found))
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in numbers), np.uint64, len(numbers))
-    both = (np.repeat(np.arange(len(texts)), rows) << 32) | np.array(units, np.int64)
+def bags(texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and element of every unit of weight: the n-th copy of a word is an element of its own.
+
+    Words are cut and numbered by column functions, so no word but a distinct one is
+    touched by itself.
+    """
+    column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
+    plain = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(column), r"[^\p{L}\p{N}]+", " "), " ")
+    # Rows without words are null here and so have no parts.
+    lists = pc.split_pattern(pc.if_else(pc.equal(plain, ""), None, plain), " ")
+    rows = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    coded = pc.dictionary_encode(lists.flatten())
+    unit = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    both = (np.repeat(np.arange(len(column), dtype=np.int64), rows) << 32) | unit
     both.sort()
     row, unit = both >> 32, both & 0xFFFFFFFF
     start = np.ones(len(both), bool)
     start[1:] = both[1:] != both[:-1]
     at = np.flatnonzero(start)
     copy = np.arange(len(both)) - np.repeat(at, np.diff(np.append(at, len(both))))
-    return row, _mix(hashes[unit] + copy.astype(np.uint64) * _G2) if len(both) else np.zeros(0, np.uint64)
+    return row, _mix(hashes[unit] + copy.astype(np.uint64) * _G1) if len(both) else np.zeros(0, np.uint64)
 
 
 def signatures(row: np.ndarray, element: np.ndarray, rows: int, size: int) -> np.ndarray:
@@ -165,7 +169,7 @@ def _entries(parts: int, bands: int, rows: int, turn: int, collapse: bool, batch
             for at in range(0, whole.num_rows, batch_rows):
                 part = whole.slice(at, batch_rows)
                 node = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                row, element = bags(part.column(1).to_pylist())
+                row, element = bags(part.column(1))
                 lengths = np.bincount(row, minlength=len(node))
                 full = lengths > 0
                 place = np.cumsum(full) - 1
@@ -330,7 +334,7 @@ def candidate_links(
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns and a text at last -> the same columns and the text's elements as sorted 64-bit numbers."""
     for batch in batches:
-        row, element = bags(batch.column(batch.num_columns - 1).to_pylist())
+        row, element = bags(batch.column(batch.num_columns - 1))
         number = element.view(np.int64)
         order = np.lexsort((number, row))
         offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
@@ -428,19 +432,39 @@ def _pair_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["id", "other", "n"])
 
 
-def similar_groups(df: DataFrame, key: str, text: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``node`` and ``grp`` of every text that shares a band with another one, directly or by others."""
-    spark = df.sparkSession
-    numbered = df.select(F.xxhash64(key).alias("node"), F.col(text).alias("text"))
-    return connected_components(spark, candidate_links(numbered, "node", "text", bands, rows))
+def _linked_bags(rows: DataFrame, node: str, text: str, links: DataFrame, agree: float) -> tuple[DataFrame, DataFrame]:
+    """The elements of every text that has a link, and the links whose texts agree.
+
+    Texts are cut again only where a candidate link needs them; both results are read
+    several times and are therefore cut from their past.
+    """
+    links = links.checkpoint()
+    ends = links.select(F.col("a").alias("end")).unionByName(links.select(F.col("b").alias("end"))).distinct()
+    needed = rows.join(ends, F.col(node) == F.col("end"), "left_semi")
+    names = [c for c in rows.columns if c != text]
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "bag array<bigint>"])
+    bag = needed.select(*names, text).mapInArrow(_elements, schema).checkpoint()
+    # Half of every number is enough here: what chance lets through, the exact comparison stops.
+    short = bag.select(F.col(node).alias("end"), F.transform("bag", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("short"))
+    both = links.join(short.select(F.col("end").alias("a"), F.col("short").alias("x")), "a").join(
+        short.select(F.col("end").alias("b"), F.col("short").alias("y")), "b"
+    )
+    shared = F.size(F.array_intersect("x", "y")) >= F.lit(agree) * F.greatest(F.size("x"), F.size("y"))
+    return bag, both.where(shared).select("a", "b")
 
 
 def _within_groups(df: DataFrame, key: str, text: str, agree: float, pairs: bool) -> DataFrame:
-    """Every two texts of a group compared exactly, in blocks: rows of ``_compared``."""
+    """Every two texts of a group compared exactly, in blocks: rows of ``_compared``.
+
+    A group is what hangs together by links that agree, so texts that are alike by
+    chance never make groups grow together.
+    """
     source = df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
-    members = similar_groups(source, "id", "text")
-    rows = source.withColumn("node", F.xxhash64("id")).join(members, "node")
-    found = rows.select("grp", "id", "text").mapInArrow(_elements, "grp bigint, id string, bag array<bigint>")
+    source = source.select("id", F.xxhash64("id").alias("node"), "text")
+    bag, links = _linked_bags(source, "node", "text", candidate_links(source, "node", "text"), agree)
+    members = connected_components(df.sparkSession, links.distinct())
+    found = bag.join(members, "node").select("grp", "id", "bag")
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * BLOCK)
     blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
     placed = found.join(sizes, "grp", "left").withColumn("blocks", blocks)
@@ -499,16 +523,14 @@ def pairs_across(rows: DataFrame, node: str, text: str, agree: float = AGREE) ->
     Only entries of different sides are ever compared, and every pair found is
     counted exactly.  Nodes must be unique; null and wordless texts match nothing.
     """
-    links = candidate_links(rows, node, text, cross=True).select(
-        F.when(F.col("a").bitwiseAND(1) == 0, F.col("a")).otherwise(F.col("b")).alias("even"),
-        F.when(F.col("a").bitwiseAND(1) == 0, F.col("b")).otherwise(F.col("a")).alias("odd"),
+    rows = rows.select(node, text)
+    bag, links = _linked_bags(rows, node, text, candidate_links(rows, node, text, cross=True), agree)
+    both = links.join(bag.select(F.col(node).alias("a"), F.col("bag").alias("x")), "a").join(
+        bag.select(F.col(node).alias("b"), F.col("bag").alias("y")), "b"
     )
-    links = links.checkpoint()
-    ends = links.select(F.col("even").alias("end")).unionByName(links.select(F.col("odd").alias("end"))).distinct()
-    needed = rows.select(node, text).join(ends, F.col(node) == F.col("end"), "left_semi")
-    bag = needed.mapInArrow(_elements, f"`{node}` bigint, bag array<bigint>").withColumnRenamed(node, "end")
-    both = links.join(bag.select(F.col("end").alias("even"), F.col("bag").alias("x")), "even").join(
-        bag.select(F.col("end").alias("odd"), F.col("bag").alias("y")), "odd"
+    exact = F.size(F.array_intersect("x", "y")) >= F.lit(agree) * F.greatest(F.size("x"), F.size("y"))
+    is_even = F.col("a").bitwiseAND(1) == 0
+    return both.where(exact).select(
+        F.when(is_even, F.col("a")).otherwise(F.col("b")).alias("even"),
+        F.when(is_even, F.col("b")).otherwise(F.col("a")).alias("odd"),
     )
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= F.lit(agree) * F.greatest(F.size("x"), F.size("y"))).select("even", "odd")
