@@ -439,6 +439,7 @@ def _linked_bags(rows: DataFrame, node: str, text: str, links: DataFrame, agree:
     several times and are therefore cut from their past.
     """
     links = links.checkpoint()
+    _free(rows)
     ends = links.select(F.col("a").alias("end")).unionByName(links.select(F.col("b").alias("end"))).distinct()
     needed = rows.join(ends, F.col(node) == F.col("end"), "left_semi")
     names = [c for c in rows.columns if c != text]

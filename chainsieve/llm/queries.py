@@ -55,10 +55,14 @@ def p2_counts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_ranking(spark: SparkSession, root: str) -> DataFrame:
-    """One ranking of the chains of each question from fit and quality, neither outweighing the other."""
+    """One ranking of the chains of each question from fit and quality, neither outweighing the other.
+
+    Chains that only one of the two tables knows are ranked too; what is missing has flow 0.
+    """
     scores = topn.latest(table(spark, root, "fit", "tid", "qid", "ts", "grape"), "tid", "ts", "qid", "grape")
-    judged = table(spark, root, "quality", "tid", "qual").groupBy("tid").agg(F.max("qual").alias("qual"))
-    both = scores.join(judged, "tid", "left")
+    quality = table(spark, root, "quality", "tid", "qid", "qual").where("tid is not null")
+    judged = quality.groupBy("tid").agg(F.max("qual").alias("qual"), F.max("qid").alias("_qid"))
+    both = scores.join(judged, "tid", "full").withColumn("qid", F.coalesce("qid", "_qid"))
     return outranking.net_flows(both, "qid", "tid", {"grape": 0.5, "qual": 0.5})
 
 
@@ -189,8 +193,11 @@ with last as (
   select tid, qid, grape from (
     select tid, qid, grape, row_number() over (partition by tid order by ts desc, qid desc, grape desc nulls last) as k
     from fit where tid is not null) where k = 1),
-judged as (select tid, max(qual) as qual from quality where tid is not null group by tid),
-chains as (select l.tid, l.qid, l.grape, j.qual from last l left join judged j on l.tid = j.tid where l.qid is not null),
+judged as (select tid, max(qual) as qual, max(qid) as qid from quality where tid is not null group by tid),
+chains as (
+  select * from (
+    select coalesce(l.tid, j.tid) as tid, coalesce(l.qid, j.qid) as qid, l.grape, j.qual
+    from last l full join judged j on l.tid = j.tid) where qid is not null),
 long as (
   select qid, tid, 'grape' as s, case when isnan(grape) then null else grape end as v from chains
   union all select qid, tid, 'qual', case when isnan(qual) then null else qual end from chains),

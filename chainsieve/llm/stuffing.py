@@ -38,6 +38,10 @@ _SENTENCE_END = re.compile(r"[.?!:;。！？]\W*$")
 _FULL_STOP = re.compile(r"(?:([。？])|[.?])\W*$")
 _TRAIL = re.compile(r"\s(?:>|»|›|::|→|/)\s.*\s(?:>|»|›|::|→|/)\s")
 _SPLIT = re.compile(r"[,;|•·]+|!{2,}|\*{2,}|\s[-–—>»]\s")
+#: What separates entries but no parts of a sentence.
+_BARS = re.compile(r"[|•·]|\s[>»]\s")
+#: A sentence that ends within the line.
+_BOUNDARY = re.compile(r"[.!?。！？](?:\s|$)")
 _ENGLISH = frozenset(FUNCTION_WORDS["en"].split()) | frozenset("an a all some every most these those one because about".split())
 #: Words of a list entry, of a listed fragment, and share of function words a sentence exceeds.
 ENTRY_WORDS, FRAGMENT_WORDS, SENTENCE = 14, 6, 0.12
@@ -51,7 +55,8 @@ def line_evidence(line: str, pairs: Counter) -> tuple[str, int, list[str]]:
     """Kind of a line, its linked characters, and the words it lists.
 
     ``pairs`` counts the word pairs of the page.  Kinds: ``link``, ``item``,
-    ``list``, ``repeat``, ``number``, ``prose``.
+    ``entry`` (may be an item or a line of prose; only replication tells), ``list``,
+    ``repeat``, ``number``, ``prose``.
     """
     size = _size(line)
     rest = _HASHTAG.sub(" ", _LINK.sub(" ", line)) if ("." in line or "#" in line or "/" in line) else line
@@ -69,6 +74,12 @@ def line_evidence(line: str, pairs: Counter) -> tuple[str, int, list[str]]:
         entry = functional < SENTENCE and not _SENTENCE_END.search(line) and not _FORMULA.search(_COUNT.sub("", line))
         if entry or rest.count("|") >= 2 or _TRAIL.search(rest):
             return "item", linked, found
+        if _may_be_entry(line):
+            return "entry", linked, found
+    elif len(_BARS.findall(rest)) >= 4 and not _SENTENCE_END.search(line) and not _FORMULA.search(rest):
+        fragments = [f for f in _BARS.split(rest) if f.strip()]
+        if sum(len(f.split()) <= FRAGMENT_WORDS for f in fragments) >= 0.7 * len(fragments):
+            return "list", linked, found
     stop = _FULL_STOP.search(line)
     if functional < (0.2 if stop is None else 0.05 if stop.group(1) is None else 0):
         again = [pairs[p] >= TIMES for p in zip(found, found[1:])]
@@ -85,6 +96,13 @@ def line_evidence(line: str, pairs: Counter) -> tuple[str, int, list[str]]:
     return "prose", linked, []
 
 
+def _may_be_entry(line: str) -> bool:
+    """Begins like an entry, not like a wrapped line, and neither ends nor breaks off a sentence."""
+    first = next((c for c in line if c.isalnum()), "")
+    wrapped = first.islower() or first.isdigit()
+    return not (wrapped or _SENTENCE_END.search(line) or _BOUNDARY.search(line) or _FORMULA.search(line))
+
+
 def page_evidence(text: str) -> tuple[int, int, int, dict[tuple[str, ...], tuple[int, int]]]:
     """Characters, linked and listed characters of a page, and its listed phrases.
 
@@ -110,7 +128,7 @@ def page_evidence(text: str) -> tuple[int, int, int, dict[tuple[str, ...], tuple
         shingles = list(zip(found, found[1:])) or [(found[0],)]
         for p in shingles:
             size, times = phrases.get(p, (0, 0))
-            phrases[p] = (size + rest / len(shingles), times + 1)
+            phrases[p] = (size + rest / len(shingles), times + (kind != "entry"))
     return total, linked, listed, phrases
 
 
