@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Words of a passage that makes a leak, and the share of it that may differ.
 PASSAGE, CHANGED = 25, 0.12
@@ -25,7 +27,7 @@ COMMON, STOCK = 4, 8
 #: A run of ``STOCK`` words that stands in more than this share of the texts is a stock
 #: instruction and tells nothing.
 STOCK_SHARE = 0.02
-#: Most test items the automaton is built for; it is held by every worker.
+#: Most test items of one automaton, which every worker holds; more items are scanned for in passes.
 MOST_ITEMS = 200_000
 
 # A point or comma within a number is passed over, so numbers read alike without it.
@@ -67,14 +69,19 @@ class Material:
         import ahocorasick
 
         self.numbers: dict[str, int] = {}
-        self.owner: list[tuple[str, str]] = []
+        self.owners: list[list[tuple[str, str]]] = []
         self.parts: list[list[int]] = []
         self.weights: list[list[int]] = []
+        known: dict[tuple[str, ...], int] = {}
         for item, part, text in items:
             found, spans = located(text or "")
             weight = plain_words(text or "", spans)
             if sum(weight) >= PASSAGE - int(PASSAGE * CHANGED):
-                self.owner.append((item, part))
+                # One text under several ids is one text with several owners, not a stock phrase.
+                if (at := known.setdefault(tuple(found), len(self.parts))) < len(self.parts):
+                    self.owners[at].append((item, part))
+                    continue
+                self.owners.append([(item, part)])
                 self.parts.append([self.numbers.setdefault(w, len(self.numbers) + 1) for w in found])
                 self.weights.append(weight)
         spread: list[Counter] = []
@@ -233,13 +240,23 @@ def leaked_passages(corpus: DataFrame, key: str, text: str, items: DataFrame, it
 
     A leak is a passage of at least 25 words of one of ``parts`` of an item, in
     order, of which up to about one in ten may differ; runs of words that many
-    items share do not count.  The items (at most ``MOST_ITEMS``) go to every
-    worker; the corpus is scanned once, whole, without a shuffle.  Null, empty and
-    short texts hold no leak; a text that holds several items gives a row for each.
+    different texts share do not count, a text that stands under several items gives
+    a row for each of them.  The items go to every worker, at most ``MOST_ITEMS`` at
+    a time; the corpus is scanned whole, once for each such share of the items,
+    without a shuffle.  Null and empty texts hold no leak; a text that holds several
+    items gives a row for each.
     """
-    rows = items.select(item, *parts).limit(MOST_ITEMS + 1).collect()
-    if len(rows) > MOST_ITEMS:
-        raise ValueError(f"the automaton holds at most {MOST_ITEMS} items")
+    passes = -(-items.count() // MOST_ITEMS)
+    if passes > 1:
+        share = F.pmod(F.xxhash64(item), F.lit(passes))
+        scans = [_scan(corpus, key, text, items.where(share == n), item, parts) for n in range(passes)]
+        return reduce(DataFrame.unionByName, scans)
+    return _scan(corpus, key, text, items, item, parts)
+
+
+def _scan(corpus: DataFrame, key: str, text: str, items: DataFrame, item: str, parts: list[str]) -> DataFrame:
+    """The leaks of items that fit into one automaton."""
+    rows = items.select(item, *parts).collect()
     texts = sorted({(str(r[item]), p, r[p]) for r in rows if r[item] is not None for p in parts if r[p] is not None})
     shared = corpus.sparkSession.sparkContext.broadcast(texts)
     kind = dict(corpus.dtypes)[key]
@@ -250,7 +267,7 @@ def leaked_passages(corpus: DataFrame, key: str, text: str, items: DataFrame, it
             material = material or Material(shared.value)
             out: list[tuple] = []
             for value, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not words or len(words) < 2 * PASSAGE:
+                if not words:
                     continue
                 leaks = material.passages(material.numbered(unlocated(words)))
                 if not leaks:
@@ -258,7 +275,8 @@ def leaked_passages(corpus: DataFrame, key: str, text: str, items: DataFrame, it
                 found, spans = located(words)
                 leaks = material.passages(material.numbered(found))
                 for n, first, last, matched in leaks:
-                    out.append((value, *material.owner[n], spans[first][0], spans[last][1], matched))
+                    for owner in material.owners[n]:
+                        out.append((value, *owner, spans[first][0], spans[last][1], matched))
             columns = list(zip(*out)) if out else [[]] * 6
             types = [batch.schema.field(0).type, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
             names = [key, "item_id", "part", "start", "stop", "n_words"]

@@ -138,14 +138,26 @@ _FINAL = re.compile(
     r"|respuesta\s*(?:final)?\s*(?:es|:)\s*\S|(?:đáp số|đáp án)\s*(?:là|:)\s*\S",
     re.I,
 )
-#: How far from the end a final answer may stand.
-TAIL = 400
+# A command of which only the beginning is there.
+_CUT_COMMAND = re.compile(r"\\[A-Za-z]*\Z")
+
+
+def _closed(line: str) -> bool:
+    """No formula, box or bracket is still open at the end of ``line``, nor a command begun."""
+    plain = line.replace("\\$", "").replace("\\{", "").replace("\\}", "")
+    return (
+        plain.count("{") <= plain.count("}")
+        and plain.count("$") % 2 == 0
+        and plain.count("\\(") <= plain.count("\\)")
+        and plain.count("\\[") <= plain.count("\\]")
+        and not _CUT_COMMAND.search(plain)
+    )
 
 
 def final_answer_end(text: str) -> int:
     """Where the last final answer ends, or -1 if there is none that is complete."""
     last = -1
-    for m in _FINAL.finditer(text, max(0, len(text) - TAIL)):
+    for m in _FINAL.finditer(text):
         at = m.end()
         if m.group().rstrip().endswith("{"):
             depth, k = 1, at
@@ -157,7 +169,9 @@ def final_answer_end(text: str) -> int:
             last = k
         else:
             line = text.find("\n", at)
-            last = len(text) if line < 0 else line
+            end = len(text) if line < 0 else line
+            if _closed(text[m.start() : end]):
+                last = end
     return last
 
 
@@ -198,6 +212,8 @@ def is_refusal(text: str) -> bool:
 COPY_RATIO = 0.62
 #: Share of the longer of the two in common words that makes a copy.
 COPY_WORDS = 0.6
+#: The same for a response that holds the prompt several times.
+COPIES_WORDS = 0.85
 
 
 def copy_ratio(question: list[str], text: list[str]) -> float:
@@ -211,19 +227,23 @@ def copy_ratio(question: list[str], text: list[str]) -> float:
 
 
 def is_copy(question: str | None, text: str) -> bool:
-    """Gives back the question, perhaps with a few words changed or added, and no solution.
+    """Gives back the question, once or several times, perhaps with a few words changed or added, and no solution.
 
-    Only a response not much longer than the prompt can be one; its size when
-    compressed against the prompt finds it, the common words confirm it.
+    The size of the response when compressed against the prompt finds it, the common
+    words confirm it: as many as a copy, or so many copies as its length asks for, would have.
     """
-    if not question or len(text) > 2 * len(question) + 80:
+    if not question:
         return False
     asked, given = words(question), words(text)
-    if len(given) * COPY_WORDS > len(asked) or copy_ratio(asked, given) > COPY_RATIO:
+    if not asked or not given:
         return False
+    times = max(1, round(len(given) / len(asked)))
+    least = COPY_WORDS if times == 1 else COPIES_WORDS
     a, b = Counter(asked), Counter(given)
-    shared = (a & b).total()
-    return shared >= COPY_WORDS * max(a.total(), b.total())
+    shared = sum(min(n, times * a[w]) for w, n in b.items() if w in a)
+    if shared < least * max(times * len(asked), len(given)):
+        return False
+    return copy_ratio(asked, given) <= COPY_RATIO
 
 
 # Marks that end a sentence, and words after which none ends.
@@ -257,10 +277,18 @@ def is_truncated(text: str) -> bool:
     return tail.rstrip(_CLOSERS)[-1:] not in tuple(_ENDS)
 
 
-def defects(question: str | None, text: str | None, asked: str | None = None) -> list[str]:
+def ends_with(text: str, answer: str | None) -> bool:
+    """The recorded final answer is what the text ends with, apart from closing marks."""
+    if not answer or not answer.strip() or not _closed(text[text.rfind("\n") + 1 :]):
+        return False
+    return text.rstrip(_CLOSERS + ".})]\\").endswith(answer.strip().rstrip(_CLOSERS + ".})]\\"))
+
+
+def defects(question: str | None, text: str | None, asked: str | None = None, answer: str | None = None) -> list[str]:
     """The defects of one pair, in alphabetical order; none for a proper answer.
 
-    ``asked`` is the language of the question, where the caller knows it.
+    ``asked`` is the language of the question, where the caller knows it, ``answer``
+    the final answer recorded for the response: a text that ends with it is complete.
     """
     if is_empty(text):
         return ["empty"]
@@ -269,7 +297,7 @@ def defects(question: str | None, text: str | None, asked: str | None = None) ->
     found = []
     if mostly_other(text, asked or dominant(question or "")[0]):
         found.append("language")
-    if not has_final_answer(text):
+    if not has_final_answer(text) and not ends_with(text, answer):
         if is_refusal(text):
             found.append("refusal")
         elif is_truncated(text):
@@ -277,11 +305,11 @@ def defects(question: str | None, text: str | None, asked: str | None = None) ->
     return found
 
 
-def pair_defects(df: DataFrame, key: str, question: str, text: str) -> DataFrame:
+def pair_defects(df: DataFrame, key: str, question: str, text: str, answer: str | None = None) -> DataFrame:
     """``key`` and ``defect`` of every defective pair, one row for each defect.
 
     Null texts are ``empty``; a null question can be neither copied nor of another
-    language.  Repeated rows give their defects once.  Texts are read whole.
+    language; a null ``answer`` tells nothing.  Repeated rows give their defects once.  Texts are read whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,10 +318,10 @@ def pair_defects(df: DataFrame, key: str, question: str, text: str) -> DataFrame
             keys, names = [], []
             if len(asked) > 20_000:
                 asked.clear()
-            for k, q, t in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, q, t, final in zip(*(c.to_pylist() for c in batch.columns)):
                 if q is not None and q not in asked:
                     asked[q] = dominant(q)[0]
-                for name in defects(q, t, asked.get(q)):
+                for name in defects(q, t, asked.get(q), final):
                     keys.append(k)
                     names.append(name)
             yield pa.RecordBatch.from_arrays(
@@ -301,7 +329,8 @@ def pair_defects(df: DataFrame, key: str, question: str, text: str) -> DataFrame
             )
 
     kind = dict(df.dtypes)[key]
-    return df.select(key, question, text).mapInArrow(run, f"`{key}` {kind}, defect string").distinct()
+    final = F.col(answer).cast("string") if answer else F.lit(None).cast("string")
+    return df.select(key, question, text, final.alias("_final")).mapInArrow(run, f"`{key}` {kind}, defect string").distinct()
 
 
 def defect_counts(found: DataFrame) -> DataFrame:

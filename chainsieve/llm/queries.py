@@ -46,7 +46,7 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Generations that are no proper answer to their question, with the defect."""
-    return pairs.pair_defects(table(spark, root, "eval"), "gen_id", "question", "text")
+    return pairs.pair_defects(table(spark, root, "eval"), "gen_id", "question", "text", "pred")
 
 
 def p2_counts(spark: SparkSession, root: str) -> DataFrame:

@@ -21,11 +21,13 @@ from chainsieve.llm.words import strings
 
 #: Words of a passage; characters of a passage in text without spaces.
 PASSAGE_WORDS, PASSAGE_CHARS = 4, 20
-#: A run of this many characters without a space is read character by character.
+#: No word has so many letters and digits: a longer run of them is text without spaces.
 UNSPACED = 40
+# Letters of scripts that put no spaces between words.
+_SPACELESS = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
-_CHUNK = re.compile(r"\S+")
-_UNIT = re.compile(r"[^\W_]+")
+# A run of letters and digits, or of so many marks that it is no separator.
+_UNIT = re.compile(r"[^\W_]+|(?:[^\w\s]|_){%d,}" % UNSPACED)
 _DIGITS = re.compile(r"\d+")
 #: Numbers within unspaced text; a longer run of digits is text of its own.
 _NUMBER = re.compile(r"(?<!\d)\d{1,19}(?!\d)")
@@ -46,30 +48,30 @@ class Passages:
             self.numbers.clear()
         text = text.lower()
         numbers, starts, single = [], [], []
-        if max(map(len, text.split()), default=0) < UNSPACED:
-            found = list(_UNIT.finditer(text))
+        found = list(_UNIT.finditer(text))
+        plain = text.isascii() or not _SPACELESS.search(text)
+        if plain and max((u.end() - u.start() for u in found), default=0) < UNSPACED:
             number = self._number
             return [number(u.group()) for u in found], [u.start() for u in found], [False] * len(found)
-        for chunk in _CHUNK.finditer(text):
-            at, run = chunk.start(), chunk.group()
-            if len(run) < UNSPACED:
-                for unit in _UNIT.finditer(run):
-                    numbers.append(self._number(unit.group()))
-                    starts.append(at + unit.start())
-                    single.append(False)
-            else:
-                last = 0
-                for number in _NUMBER.finditer(run):
-                    for k in range(last, number.start()):
-                        numbers.append(-ord(run[k]))
-                        starts.append(at + k)
-                    numbers.append(-ord("0"))
-                    starts.append(at + number.start())
-                    last = number.end()
-                for k in range(last, len(run)):
+        for unit in found:
+            at, run = unit.start(), unit.group()
+            if len(run) < UNSPACED and (plain or not _SPACELESS.search(run)):
+                numbers.append(self._number(run))
+                starts.append(at)
+                single.append(False)
+                continue
+            last = 0
+            for number in _NUMBER.finditer(run):
+                for k in range(last, number.start()):
                     numbers.append(-ord(run[k]))
                     starts.append(at + k)
-                single += [True] * (len(numbers) - len(single))
+                numbers.append(-ord("0"))
+                starts.append(at + number.start())
+                last = number.end()
+            for k in range(last, len(run)):
+                numbers.append(-ord(run[k]))
+                starts.append(at + k)
+            single += [True] * (len(numbers) - len(single))
         return numbers, starts, single
 
 

@@ -62,7 +62,7 @@ def test_random_windows_with_changes(seed):
         for k in rng.sample(range(1, n - 1), n // 12):
             part[k] = "qqq"
         text = passage(30) + " " + " ".join(part) + " " + passage(30)
-        missed += item not in {material.owner[p][0] for p, *_ in material.passages(material.numbered(unlocated(text)))}
+        missed += item not in {material.owners[p][0][0] for p, *_ in material.passages(material.numbered(unlocated(text)))}
     assert missed == 0
 
 
@@ -73,7 +73,7 @@ def test_prose_of_some_items_is_no_stock_instruction():
     material = Material(texts + [(f"x{k}", "solution", passage(60)) for k in range(900)])
     words = texts[0][2].split()
     text = passage(30) + " " + " ".join(words[32:57]) + " " + passage(30)
-    assert "p0" in {material.owner[n][0] for n, *_ in material.passages(material.numbered(unlocated(text)))}
+    assert "p0" in {material.owners[n][0][0] for n, *_ in material.passages(material.numbered(unlocated(text)))}
 
 
 def test_an_inner_repeat_does_not_cut_a_passage():
@@ -134,3 +134,37 @@ def test_pages(spark):
     assert set(range(2 * len(SPAM))) <= got and not got & set(range(2 * len(SPAM), 2 * len(SPAM) + len(FINE) + 3))
     assert all(0 <= r.stuffed_share <= r.listed_share + 1e-9 for r in page_shares(df, "doc_id", "text", "url", "source").collect())
     assert stuffed_pages(df.limit(0), "doc_id", "text", "url", "source").count() == 0
+
+
+def test_one_text_under_many_items_leaks_for_all_of_them(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    items = spark.createDataFrame([(f"i{k}", text, None) for k in range(7)], "item_id string, question string, solution string")
+    pages = spark.createDataFrame([(1, "before it " + text + " after it"), (2, "nothing of that")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in leaked_passages(pages, "doc_id", "text", items, "item_id", ["question", "solution"]).collect()}
+    assert got == {(1, f"i{k}") for k in range(7)}
+
+
+def test_more_items_than_one_automaton_holds(spark, monkeypatch):
+    monkeypatch.setattr("chainsieve.llm.leaks.MOST_ITEMS", 3)
+    texts = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(8)]
+    items = spark.createDataFrame([(f"i{k}", t, None) for k, t in enumerate(texts)], "item_id string, question string, solution string")
+    pages = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in leaked_passages(pages, "doc_id", "text", items, "item_id", ["question", "solution"]).collect()}
+    assert got == {(k, f"i{k}") for k in range(8)}
+
+
+def test_doorway_entries_are_confirmed_by_other_hosts_only(spark):
+    rng = __import__("random").Random(1)
+    things = ["Angles course for kids", "Cubes in", "Cheat sheet for", "Near me worksheets in", "Tutor with answers in"]
+    place = ["Gorth Cross", "Tamir Bay", "Ulnex Ford"]
+    page = lambda: "\n".join(f"{rng.choice(things)} {rng.choice(place)}" for _ in range(30))
+    prose = "\n".join(
+        [
+            "Katten sover under bordet medan regnet faller mot rutan", "Min granne köpte tre gamla stolar igår kväll",
+            "Barnen räknade äpplena innan bussen kom", "Läraren skrev svaret längst ner till höger",
+            "Ingen visste varför klockan stannat", "Sommaren efter flyttade hela familjen norrut",
+        ]
+    )
+    rows = [(1, page(), "http://a.test/x", "s"), (2, page(), "http://b.test/x", "s"), (3, prose, "http://c.test/x", "s")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, url string, source string")
+    assert {r.doc_id for r in stuffed_pages(df, "doc_id", "text", "url", "source").collect()} == {1, 2}

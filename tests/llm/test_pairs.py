@@ -61,3 +61,21 @@ def test_table(spark):
 def test_placeholders_are_empty_at_every_length():
     assert is_empty("## Answer" + "\n" * 500 + "## Solution") and is_empty("Final answer: pending\n" * 40)
     assert not is_empty("## Answer" + "\n" * 500 + "seven")
+
+
+@pytest.mark.parametrize("cut", [r"Therefore the final answer is $\boxed{38", "Therefore the final answer is $\\boxed{\\", r"The answer is \(\frac{38}{1"])
+def test_an_answer_that_breaks_off_is_none(cut):
+    assert defects(ASK, SOLVED + cut) == ["truncated"]
+
+
+def test_long_answers_and_several_copies():
+    assert defects(ASK, SOLVED + r"\boxed{" + "7 + " * 300 + "7}") == []
+    assert defects(ASK, (ASK + "\n") * 4) == ["copy"]
+    assert defects(ASK, (ASK + "\n") * 2 + SOLVED * 3 + r"\boxed{38}") == []
+
+
+def test_a_recorded_answer_at_the_end_completes(spark):
+    text = SOLVED + "so what is left is exactly 38"
+    assert defects(ASK, text) == ["truncated"] and defects(ASK, text, None, "38") == []
+    df = spark.createDataFrame([(1, ASK, text, "38"), (2, ASK, text, None)], "gen_id bigint, question string, text string, pred string")
+    assert [tuple(r) for r in pair_defects(df, "gen_id", "question", "text", "pred").collect()] == [(2, "truncated")]

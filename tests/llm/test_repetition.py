@@ -67,3 +67,11 @@ def test_share_is_measured_on_every_row(spark, ranks):
     text = " ".join(lone[:90] + twice + lone[90:] + twice)
     row = repetition_profile(spark.createDataFrame([(1, text)], "gen_id bigint, text string"), ["gen_id"], "text", ranks).first()
     assert not row.rejected and 0.02 < row.repeated_share == repeated_share(text)
+
+
+def test_marks_and_hyphens_between_copies_make_no_difference():
+    passage = "seven tall ships left the old harbour at dawn today"
+    for joint in ("-", ", ", " ** ", "\n\n", "--"):
+        text = " ".join([passage, passage.replace(" ", joint), passage])
+        assert repeated_share(text) > 0.99, joint
+    assert repeated_share("ha" * 60) > 0.95 and repeated_share("首先把四十五个罐子卖掉还剩下四十五个所以答案是三十八。" * 3) > 0.9
