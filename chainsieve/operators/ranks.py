@@ -59,10 +59,11 @@ def usable(column: Column) -> Column:
     return column.isNotNull() & ~F.isnan(column)
 
 
-def zscore(column: Column) -> Column:
-    """Over all rows, with the population deviation; 0 where the deviation is 0."""
-    w = Window.partitionBy()
-    return F.coalesce((column - F.avg(column).over(w)) / F.nullif(F.stddev_pop(column).over(w), F.lit(0.0)), F.lit(0.0))
+def zscored(df: DataFrame, column: str, name: str = "z") -> DataFrame:
+    """Adds the z-score over all rows, with the population deviation; 0 where the deviation is 0."""
+    scale = df.agg(F.avg(column).alias("_m"), F.stddev_pop(column).alias("_s"))
+    z = F.coalesce((F.col(column) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0)), F.lit(0.0))
+    return df.crossJoin(F.broadcast(scale)).withColumn(name, z).drop("_m", "_s")
 
 
 def index_percentile(values: Column, share: float) -> Column:

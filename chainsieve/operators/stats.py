@@ -9,11 +9,10 @@ from chainsieve.operators.ranks import average_rank
 
 
 def pearson(x: Column, y: Column) -> Column:
-    """Aggregate expression of the correlation; null where a side is constant."""
-    n, sx, sy = F.count(F.lit(1)), F.sum(x), F.sum(y)
-    cov = n * F.sum(x * y) - sx * sy
-    var_x, var_y = n * F.sum(x * x) - sx * sx, n * F.sum(y * y) - sy * sy
-    return F.when((var_x > 1e-12) & (var_y > 1e-12), cov / F.nullif(F.sqrt(F.abs(var_x * var_y)), F.lit(0.0)))
+    """Aggregate expression of the correlation; null where a side is constant up to rounding."""
+    wide = lambda c: F.stddev_pop(c) > 1e-12 * F.greatest(F.abs(F.avg(c)), F.lit(1e-300))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(wide(x) & wide(y), F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)))
 
 
 def spearman_within(df: DataFrame, x: str, y: str, group: str = "qid", least: int = 3) -> DataFrame:

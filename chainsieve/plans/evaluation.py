@@ -46,7 +46,7 @@ def pooled(spark: SparkSession, root: str) -> DataFrame:
 def by_subset(spark: SparkSession, root: str) -> DataFrame:
     """Accuracy, stops, caps and missing boxes of every benchmark and each of its subsets."""
     items = table(spark, root, "eval_items", "item_id", "subset").distinct()
-    rows = generations(spark, root).join(F.broadcast(items), F.col("qid") == F.col("item_id"), "left")
+    rows = generations(spark, root).join(items, F.col("qid") == F.col("item_id"), "left")
     cut = (~F.col("stopped") & (F.col("n_tokens") >= 3072)).cast("double")
     return (
         rows.groupingSets([["benchmark", "subset"], ["benchmark"]], "benchmark", "subset")
@@ -118,7 +118,7 @@ def selection_summary(spark: SparkSession, root: str) -> DataFrame:
 
 
 def zscores(spark: SparkSession, root: str) -> DataFrame:
-    return quality(spark, root).where("rule_score is not null").select("tid", _r(ranks.zscore(F.col("rule_score"))).alias("z"))
+    return ranks.zscored(quality(spark, root).where("rule_score is not null"), "rule_score").select("tid", _r("z").alias("z"))
 
 
 def reference_zscores(spark: SparkSession, root: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chainsieve.functions import batching, text
 from chainsieve.functions.answers import boxed_spans as spans_of
-from chainsieve.functions.steps import cut_kind, rule_ends, tidy_ends, valid_ends
+from chainsieve.functions.steps import covers, place_of, rule_ends, tidied
 from chainsieve.operators import metrics, objective, rules, stats
 from chainsieve.operators.prefix import running_sums
 from chainsieve.plans.base import K, WITH, chains, fits, generations, pool, questions
@@ -60,10 +60,11 @@ def version_gate(spark: SparkSession, root: str) -> DataFrame:
 
 
 def stale(spark: SparkSession, root: str) -> DataFrame:
-    """Stored fingerprints of texts against the texts: nothing may have changed."""
-    rows = table(spark, root, "candidates", "tid", "text").distinct().where("text is not null")
-    stored = rows.select("tid", F.md5("text").alias("stored"))
-    return rows.join(stored, "tid").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.md5("text") != F.col("stored")).alias("changed"))
+    """Texts whose stored fingerprint no longer holds: those of cut chains were stored before the cut."""
+    rows = table(spark, root, "candidates", "tid", "text", "finish_reason").distinct().where("text is not null")
+    whole = F.when(F.col("finish_reason").eqNullSafe("length"), F.concat("text", F.lit("..."))).otherwise(F.col("text"))
+    stored = rows.select("tid", "text", F.md5(whole).alias("stored"))
+    return stored.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.md5("text") != F.col("stored")).alias("changed"))
 
 
 def clipped(spark: SparkSession, root: str) -> DataFrame:
@@ -100,7 +101,7 @@ def step_audit(spark: SparkSession, root: str) -> DataFrame:
         import pandas as pd
 
         for frame in batches:
-            kinds = [cut_kind(t, e) for t in frame["text"] for e in rule_ends(t, "sentence")[:-1]]
+            kinds = [place_of(t, e) for t in frame["text"] for e in rule_ends(t, "sentence")[:-1]]
             yield pd.DataFrame({"kind": kinds})
 
     return rows.mapInPandas(run, "kind string").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
@@ -114,8 +115,8 @@ def tidy_steps(spark: SparkSession, root: str) -> DataFrame:
         import pandas as pd
 
         for frame in batches:
-            ends = [tidy_ends(t, rule_ends(t, "sentence")) for t in frame["text"]]
-            ok = [valid_ends(e, len(t)) for e, t in zip(ends, frame["text"])]
+            ends = [tidied(t, rule_ends(t, "sentence")) for t in frame["text"]]
+            ok = [covers(e, len(t)) for e, t in zip(ends, frame["text"])]
             yield pd.DataFrame({"tid": frame["tid"], "n_steps": [len(e) for e in ends], "valid": ok})
 
     return rows.mapInPandas(run, "tid string, n_steps int, valid boolean")
@@ -134,13 +135,20 @@ def differences(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("qid", d["only_a"].alias("only_a"), d["only_b"].alias("only_b"))
 
 
+#: Commands a careless reader spoils, and what it leaves of them.
+SPOILT = {"\\times": "\times", "\\frac": "\x0crac", "\\text{": "\text{", "\\binom": "\x08inom", "\\right": "\right", "\\alpha": "\x07lpha"}
+
+
 def control(spark: SparkSession, root: str) -> DataFrame:
     """Items whose commands lost their first letters, repaired again."""
     rows = table(spark, root, "eval_items", "item_id", "question").distinct()
-    spoilt = F.replace(F.replace("question", F.lit("\\times"), F.lit("\times")), F.lit("\\frac"), F.lit("\x0crac"))
-    fixed = text.repair_latex(spoilt)
+    spoilt = F.col("question")
+    for command, eaten in SPOILT.items():
+        spoilt = F.replace(spoilt, F.lit(command), F.lit(eaten))
     return rows.select(
-        "item_id", text.control_chars(spoilt).cast("int").alias("spoilt"), (fixed == F.col("question")).alias("restored")
+        "item_id",
+        text.control_chars(spoilt).cast("int").alias("spoilt"),
+        F.md5(text.repair_latex(spoilt)).alias("restored"),
     )
 
 
@@ -326,11 +334,12 @@ SQL = {
     "q_s10_messages": f"{WITH} select qid, md5(question) as digest from asked where question is not null",
     "q_p14_version_gate": f"""{WITH} select tid, case when signals_version >= 3 then local_nat end as local_nat,
       coalesce(signals_version < 3, true) as dropped from fits""",
-    "q_p15_stale_texts": f"{WITH} select count(*) as n, 0 as changed from chains where text is not null",
+    "q_p15_stale_texts": f"{WITH} select count(*) as n, count(*) filter (where finish_reason = 'length') as changed from (select distinct tid, text, finish_reason from candidates) where text is not null",
     "q_p17_clipped": "select tid, greatest(-3.0, least(3.0, rule_score)) as score from (select distinct tid, rule_score from quality where rule_score is not null)",
     "q_p18_failures": """select case when event_type <> 'error' then 'ok' when value < 50 then 'retry' else 'final' end as kind, count(*) as n
       from (select distinct event_type, value from events) group by 1""",
-    "q_m3_norms": f"{_V} select qid, pos, 1.0 as norm from v",
+    "q_m3_norms": f"""{_V}, u as (select qid, pos, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) as u from v)
+      select qid, pos, round(list_inner_product(u, u), 5) as norm from u""",
     "q_m11_before_stop": f"""with c as (select tid, {_LEN.format("text")} as v from (select distinct tid, text from candidates where text is not null))
       select tid, cast(case when list_position(v, 1) > 0 then list_position(v, 1) - 1 else len(v) end as int) as n from c""",
     "q_m13_sample_encoding": f"""with c as (select gen_id, len({_LEN.format("question")}) as p, len({_LEN.format("text")}) as a
@@ -374,6 +383,7 @@ SQL = {
         (select round(avg(cast(completion_tokens as double)), 6) from p where b <= {K}) as tokens_b""",
     "q_o1_train_rows": f"""{_GHAT} select d.qid, d.tid, d.teacher, round({K} * case when d.n <= {K} or d.tot <= 1e-12 then 1.0 / {K} else d.gap / d.tot end, 6) as weight,
       d.n_tokens, md5(a.question) as question from d join (select qid, min(question) as question from asked group by qid) a on d.qid = a.qid""",
-    "q_f18_repaired": """select item_id, cast((length(question) - length(replace(question, '\\times', ''))) / 6 + (length(question) - length(replace(question, '\\frac', ''))) / 5 as int) as spoilt,
-      case when question is not null then true end as restored from (select distinct item_id, question from eval_items)""",
+    "q_f18_repaired": "select item_id, cast("
+    + " + ".join(f"(length(question) - length(replace(question, '{c}', ''))) / {len(c)}" for c in SPOILT)
+    + " as int) as spoilt, md5(question) as restored from (select distinct item_id, question from eval_items)",
 }

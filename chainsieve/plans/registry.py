@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from chainsieve.plans import evaluation, extra, more, selection, textual
+    from chainsieve.plans import evaluation, extra, more, records, selection, textual
 
-    return [selection, evaluation, textual, more, extra]
+    return [selection, evaluation, textual, more, extra, records]
 
 
 def queries() -> dict[str, Query]:

@@ -340,7 +340,7 @@ def packed_generations(spark: SparkSession, root: str) -> DataFrame:
     first = Window.partitionBy("tag", "seed", "qid", "sample").orderBy("gen_id")
     rows = generations(spark, root).withColumn("k", F.row_number().over(first)).where("k = 1")
     items = table(spark, root, "eval_items", "item_id", F.col("benchmark").alias("of")).distinct()
-    joined = rows.join(F.broadcast(items), F.col("qid") == F.col("item_id"), "left")
+    joined = rows.join(items, F.col("qid") == F.col("item_id"), "left")
     return joined.groupBy(F.coalesce("of", F.lit("no item")).alias("of")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -15,6 +15,7 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -28,13 +29,15 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
 def checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/chainsieve-checkpoints") -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local sessions and tests) is ``fallback``
-    set on the context.
+    Only a local session may do without that setting and then uses ``fallback``; on a
+    cluster a folder of one machine would lose what other executors wrote.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or fallback)
     return named or fallback

@@ -1,4 +1,9 @@
-"""Streaming forms: windowed counts with late data, and last-write-wins compaction."""
+"""Streaming forms: windowed counts with late data, and last-write-wins compaction.
+
+Both write one folder per batch, which a batch that is run again replaces, and read
+the last row of every key among all batches.  Nothing is rewritten, nothing lives in the
+driver, and a stream started again on the same folder goes on where it stopped.
+"""
 
 from __future__ import annotations
 
@@ -16,17 +21,30 @@ def _stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
 
 
-def _run(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], folder: str) -> None:
-    query = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{folder}/state")
+def _run(stream: DataFrame, mode: str, folder: str, prepare: Callable[[DataFrame], DataFrame]) -> None:
+    """Works off what has arrived; every batch goes to a folder of its own."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        prepare(batch).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state")
     query.trigger(availableNow=True).start().awaitTermination()
 
 
-def windowed_counts(spark: SparkSession, path: str, time: str, key: str, every: str = "1 hour") -> DataFrame:
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def windowed_counts(
+    spark: SparkSession, path: str, time: str, key: str, every: str = "1 hour", folder: str | None = None
+) -> DataFrame:
     """Rows and value sum by tumbling window and key, kept up to date as files arrive.
 
-    Rows up to two hours late are counted into their window.
+    Rows up to two hours behind the latest one seen before are counted into their
+    window, later ones are dropped; so the state of windows that ended before is
+    dropped too.  Only windows that changed are written.
     """
-    folder = f"{checkpoint_dir(spark)}/windows-{uuid.uuid4().hex}"
+    folder = folder or _fresh(spark, "windows")
     stream = _stream(spark, path)
     counts = (
         stream.withColumn(time, stream[time].cast("timestamp"))
@@ -35,26 +53,12 @@ def windowed_counts(spark: SparkSession, path: str, time: str, key: str, every:
         .agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
         .select(F.col("window.start").cast("timestamp_ntz").alias("start"), key, "n", "total")
     )
-    _run(counts, "complete", lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out"), folder)
-    return spark.read.parquet(f"{folder}/out")
-
+    _run(counts, "update", folder, lambda batch: batch)
+    return last_per_key(spark.read.parquet(f"{folder}/out"), ["start", key], ["batch"]).drop("batch")
 
-def compacted(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of every key of an append log, merged batch by batch into a table.
 
-    Each batch is reduced first, then merged with the table written before; every
-    merge writes a new version, so a batch that is run again gives the same table.
-    """
-    folder = f"{checkpoint_dir(spark)}/compact-{uuid.uuid4().hex}"
-    versions: list[int] = []
-
-    def merge(batch: DataFrame, number: int) -> None:
-        fresh = last_per_key(batch, keys, order)
-        before = [v for v in versions if v < number]
-        if before:
-            fresh = last_per_key(fresh.unionByName(spark.read.parquet(f"{folder}/v{max(before)}")), keys, order)
-        fresh.write.mode("overwrite").parquet(f"{folder}/v{number}")
-        versions.append(number)
-
-    _run(_stream(spark, path), "append", merge, folder)
-    return spark.read.parquet(f"{folder}/v{max(versions)}")
+def compacted(spark: SparkSession, path: str, keys: list[str], order: list[str], folder: str | None = None) -> DataFrame:
+    """The last row of every key of an append log; each batch is reduced to its last rows before it is written."""
+    folder = folder or _fresh(spark, "compact")
+    _run(_stream(spark, path), "append", folder, lambda batch: last_per_key(batch, keys, order))
+    return last_per_key(spark.read.parquet(f"{folder}/out"), keys, order).drop("batch")
