@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from chainsieve.plans import evaluation, extra, more, records, selection, textual
+    from chainsieve.plans import evaluation, extra, more, records, reports, selection, textual
 
-    return [selection, evaluation, textual, more, extra, records]
+    return [selection, evaluation, textual, more, extra, records, reports]
 
 
 def queries() -> dict[str, Query]:

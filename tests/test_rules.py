@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from chainsieve.operators import pool as P
 from chainsieve.operators import ranks, rules
 
-TEACHER = {"ds": "deepseek", "qw": "qwen72b", "ll": "llama70b"}
+TEACHERS = ["north", "south", "east"]
 
 
 def chains(spark, n, **columns):
@@ -21,96 +22,100 @@ def picked(df):
     return sorted(r.pos - 1 for r in df.collect())
 
 
-def test_norm_rank(spark):
-    def got(values, direction="max"):
-        df = chains(spark, len(values), s=[float(v) for v in values])
-        return [r.r for r in df.select("pos", ranks.norm_rank(F.col("s"), direction=direction).alias("r")).orderBy("pos").collect()]
+def drawn(seed, n):
+    """Random signals with ties, and teachers."""
+    rng = random.Random(seed)
+    return [rng.randrange(6) / 2 for _ in range(n)], [rng.randrange(5) / 4 for _ in range(n)], [rng.choice(TEACHERS) for _ in range(n)]
 
-    assert got([3, 1, 2]) == [1, 0, 0.5]
-    assert got([3, 1, 2], "min") == [0, 1, 0.5]
-    assert got([1, 1, 2, 3]) == [0.5 / 3, 0.5 / 3, 2 / 3, 1]
-    assert got([5, 5, 5]) == [0.5] * 3
-    assert got([7]) == [1]
 
-
-def test_minmax_and_constant(spark):
-    df = chains(spark, 3, s=[3.0, 5.0, 4.0], c=[2.0, 2.0, 2.0])
-    rows = df.select(ranks.minmax(F.col("s")).alias("s"), ranks.minmax(F.col("c")).alias("c")).collect()
-    assert [r.s for r in rows] == [0, 1, 0.5] and [r.c for r in rows] == [0.5] * 3
+def by(values, rows, k):
+    """The ``k`` rows with the greatest values, earlier ones first among equals."""
+    return sorted(rows, key=lambda i: (-values[i], i))[:k]
 
 
-def test_top_k_ties(spark):
-    df = chains(spark, 5, s=[0.3, 0.9, 0.9, 0.9, 0.1])
-    assert picked(rules.top_k(df, "s")) == [1, 2, 3]
-    same = rules.top_k(chains(spark, 4, s=[0.5] * 4), "s")
-    assert picked(same) == [0, 1, 2] and all(r.tie for r in same.collect())
-
-
-def test_rank_sum(spark):
-    df = chains(spark, 6, grape=[5.0, 4, 1, 2, 3, 0], qual=[4.0, 5, 3, 2, 1, 0])
-    got = rules.rank_sum(df, {"grape": (0.5, "max"), "qual": (0.5, "max")})
-    assert picked(got) == [0, 1, 2] and got.first().tie
-    with pytest.raises(ValueError):
-        rules.rank_sum(df, {"grape": (0.9, "max")})
+def vetoed(values, rows, k, share):
+    """The rows left after the worst ones, later ones first among equals, were dropped."""
+    out = max(0, min(len(rows) - k, int(share * len(rows) + 1e-9)))
+    return sorted(rows, key=lambda i: (values[i], -i))[out:]
 
 
-@pytest.mark.parametrize(
-    ("names", "prefer", "avoid", "want"),
-    [
-        (["ds", "qw", "ll", "qw", "ds", "ll", "qw"], ["qw"], [], [1, 3, 6]),
-        (["ds", "qw", "ll", "qw", "ds", "ll", "qw"], [], ["qw"], [0, 2, 4]),
-        (["qw", "ds", "qw", "ll"], [], ["qw"], [0, 1, 3]),
-    ],
-)
-def test_teacher(spark, names, prefer, avoid, want):
-    assert picked(rules.teacher_first(chains(spark, len(names), teacher=names), prefer, avoid)) == want
+def normed(values):
+    """Mean 0-based place among all, over the greatest."""
+    if len(values) == 1:
+        return [1.0]
+    return [(sum(w < v for w in values) + (sum(w == v for w in values) - 1) / 2) / (len(values) - 1) for v in values]
 
 
-@pytest.mark.parametrize(("n", "share", "want"), [(3, 0.3333333333, 0), (4, 0.3333333333, 1), (6, 0.3333333333, 2), (9, 0.3333333333, 3), (12, 0.3333333333, 4), (4, 0.9, 1), (10, 0.0, 0)])
-def test_veto_count(spark, n, share, want):
-    assert spark.range(1).select(rules.veto_count(F.lit(n), 3, share)).first()[0] == want
+CASES = [(seed, n) for seed, n in enumerate((3, 4, 7, 9, 12))]
 
 
-def test_veto(spark):
-    df = chains(spark, 6, fam=[0.9, 0.8, 0.7, 0.6, 0.5, 0.4], qual=[0.0, 0.1, 0.9, 0.8, 0.7, 0.6])
-    assert picked(rules.veto_top_k(df, "fam", "qual")) == [2, 3, 4]
-    tied = chains(spark, 4, fam=[0.1, 0.9, 0.8, 0.7], qual=[0.0, 0.0, 0.5, 0.5])
-    assert picked(rules.veto_top_k(tied, "fam", "qual")) == [0, 2, 3]
+@pytest.mark.parametrize(("seed", "n"), [*CASES, (9, 1)])
+def test_norm_rank(spark, seed, n):
+    s, _, _ = drawn(seed, n)
+    for direction, sign in (("max", 1), ("min", -1)):
+        df = chains(spark, n, s=s)
+        rows = df.select("pos", ranks.norm_rank(F.col("s"), direction=direction).alias("r")).orderBy("pos").collect()
+        assert [r.r for r in rows] == pytest.approx(normed([sign * v for v in s]))
 
 
-def test_within_teacher_rules(spark):
-    df = chains(spark, 6, teacher=["qw", "ds", "qw", "ll", "ds", "qw"], fam=[0.1, 0.2, 0.9, 0.5, 0.8, 0.3])
-    assert picked(rules.within_teacher(df, "fam")) == [2, 4, 5]
-    shares = chains(spark, 7, teacher=["ds", "qw", "ll", "qw", "ds", "ll", "qw"], fam=[-0.9, -0.5, -0.3, -0.2, -0.95, -0.85, -0.1])
-    assert picked(rules.random_at_signal_shares(shares, "fam")) == [1, 2, 3]
-    veto = chains(
-        spark, 7, teacher=["qw", "ds", "qw", "ll", "qw", "ds", "qw"], fam=[0.9, 0.1, 0.8, 0.5, 0.7, 0.6, 0.2], v=[0.0, 0.5, 0.9, 0.5, 0.8, 0.4, 0.7]
-    )
-    assert picked(rules.veto_within_teacher(veto, "fam", "v")) == [2, 4, 5]
-
-
-def test_every_rule_takes_all_of_three(spark):
-    df = chains(spark, 3, teacher=["a", "b", "a"], s=[0.2, 0.1, 0.3], v=[0.5, 0.5, 0.1])
-    for got in (
-        rules.top_k(df, "s"), rules.random_k(df), rules.teacher_first(df), rules.veto_top_k(df, "s", "v"),
-        rules.within_teacher(df, "s"), rules.random_at_signal_shares(df, "s"), rules.veto_within_teacher(df, "s", "v"),
-    ):
-        assert picked(got) == [0, 1, 2]
+def test_minmax_and_constant(spark):
+    df = chains(spark, 4, s=[12.0, 20.0, 14.0, 16.0], c=[7.5] * 4)
+    rows = df.select(ranks.minmax(F.col("s")).alias("s"), ranks.minmax(F.col("c")).alias("c")).collect()
+    assert [r.s for r in rows] == [0, 1, 0.25, 0.5] and [r.c for r in rows] == [0.5] * 4
+
+
+@pytest.mark.parametrize(("seed", "n"), CASES)
+def test_rules_over_all_chains(spark, seed, n):
+    s, v, who = drawn(seed, n)
+    df, every, k = chains(spark, n, s=s, v=v, teacher=who), range(n), 3
+    best = by(s, every, n)
+    top = rules.top_k(df, "s", k)
+    assert picked(top) == sorted(best[:k])
+    assert {r.tie for r in top.collect()} == {n > k and s[best[k - 1]] == s[best[k]]}
+    assert picked(rules.top_k_lean(df, "s", k)) == sorted(best[:k])
+    assert picked(rules.random_k(df, k)) == list(range(k))
+    total = [round((a + b) / 2, 9) for a, b in zip(normed(s), normed(v))]
+    assert picked(rules.rank_sum(df, {"s": (0.5, "max"), "v": (0.5, "max")}, k)) == sorted(by(total, every, k))
+    for share in (0.0, 0.34, 0.6, 0.9):
+        assert picked(rules.veto_top_k(df, "s", "v", share, k)) == sorted(by(s, vetoed(v, every, k, share), k))
+    likes = {i: (who[i] == "north") - (who[i] == "east") for i in every}
+    assert picked(rules.teacher_first(df, ["north"], ["east"], k)) == sorted(by(likes, every, k))
+
+
+@pytest.mark.parametrize(("seed", "n"), CASES)
+def test_rules_within_teachers(spark, seed, n):
+    s, v, who = drawn(seed, n)
+    df, k = chains(spark, n, s=s, v=v, teacher=who), 3
+    own = {t: [i for i in range(n) if who[i] == t] for t in TEACHERS}
+    first = {t: sum(i < k for i in rows) for t, rows in own.items()}
+    best = by(s, range(n), k)
+    share = {t: sum(i in best for i in rows) for t, rows in own.items()}
+    gather = lambda take: sorted(i for t, rows in own.items() for i in take(t, rows))
+    assert picked(rules.within_teacher(df, "s", k)) == gather(lambda t, rows: by(s, rows, first[t]))
+    assert picked(rules.random_at_signal_shares(df, "s", k)) == gather(lambda t, rows: rows[: share[t]])
+    got = rules.veto_within_teacher(df, "s", "v", 0.4, k)
+    assert picked(got) == gather(lambda t, rows: by(s, vetoed(v, rows, first[t], 0.4), first[t]) if first[t] else [])
+
+
+def test_weights_must_sum_to_one(spark):
+    with pytest.raises(ValueError):
+        rules.rank_sum(chains(spark, 3, s=[1, 2, 3]), {"s": (0.7, "max")})
 
 
 def test_lark(spark):
-    df = chains(spark, 2, mean_surprisal=[1.0, 2.0], brier=[0.5, 0.6])
-    got = [r.ghat for r in rules.lark(df).orderBy("pos").collect()]
-    assert got == pytest.approx([(1 / 3) * (1.0 - 1.1 / 3), (2 / 3) * (0.6 - 1.1 / 3)])
+    loss, brier = [0.8, 2.4, 1.6], [0.2, 0.9, 0.64]
+    rho, total = [b / x for b, x in zip(brier, loss)], sum(loss)
+    mean = sum(r * x for r, x in zip(rho, loss)) / total
+    got = [r.ghat for r in rules.lark(chains(spark, 3, mean_surprisal=loss, brier=brier)).orderBy("pos").collect()]
+    assert got == pytest.approx([x / total * (2 * r - mean) for r, x in zip(rho, loss)])
 
     def weights(values, b):
-        w = rules.lark_weights(chains(spark, len(values), ghat=values), b).collect()
-        return {r.pos - 1: r.weight / b for r in w}
+        return {r.pos - 1: r.weight for r in rules.lark_weights(chains(spark, len(values), ghat=values), b).collect()}
 
-    assert weights([0.5, 0.2, 0.9], 3) == pytest.approx({0: 1 / 3, 1: 1 / 3, 2: 1 / 3})
-    assert weights([0.5] * 4, 3) == pytest.approx({0: 1 / 3, 1: 1 / 3, 2: 1 / 3})
-    assert weights([0.2, 0.9, 0.5], 1) == {1: 1}
-    assert 0 not in weights([float("nan"), 0.9, 0.5], 2)
+    assert weights([0.4, 0.1], 3) == pytest.approx({0: 1.5, 1: 1.5})
+    assert weights([0.6] * 5, 2) == pytest.approx({0: 1, 1: 1})
+    assert weights([0.1, 0.7, 0.3, 0.6], 2) == pytest.approx({1: 2 * 0.4 / 0.7, 3: 2 * 0.3 / 0.7})
+    assert set(weights([float("nan"), 0.7, 0.3, 0.2], 2)) == {1, 2}
 
 
 def test_pools_take_nulls_and_empty_tables(spark):
@@ -119,8 +124,8 @@ def test_pools_take_nulls_and_empty_tables(spark):
     assert P.usable_pool(c, q, 2).count() == 2 and P.usable_pool(c, q, 3).count() == 0
     assert [r.tid for r in P.extended_pool(c, c, P.excluded_chains(c, q)).collect()] == ["a"]
     assert P.usable_pool(c.limit(0), q).count() == 0
-    four = spark.createDataFrame([("q", str(i), t, 4) for i, t in enumerate(["qw", "ds", "ll", "ds"])], "qid string, tid string, teacher string, n int")
-    assert sorted(r.tid for r in P.without_teachers(four, ["qw"]).collect()) == ["1", "2", "3"]
+    four = spark.createDataFrame([("q", str(i), t, 4) for i, t in enumerate(["west", "up", "down", "up"])], "qid string, tid string, teacher string, n int")
+    assert sorted(r.tid for r in P.without_teachers(four, ["west"]).collect()) == ["1", "2", "3"]
 
 
 def test_hashed_position_is_fixed(spark):
