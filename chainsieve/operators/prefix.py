@@ -25,8 +25,8 @@ def running_sums(
     more than ``block_rows`` rows is cut at approximate quantiles of ``order`` into
     blocks; each block is summed in its own task and shifted by the totals of the
     blocks before it.  The quantiles only decide where blocks begin, so the sums are
-    exact.  Only block totals are ever sorted together, and only the cuts of the hot
-    groups (at most rows / ``block_rows`` of them) are broadcast.  Null ``group``
+    exact.  Only block totals are ever sorted together; how the few cuts of the hot
+    groups (at most rows / ``block_rows`` of them) are joined is left to the optimizer.  Null ``group``
     values form a group of their own; an empty input gives an empty result.  The
     input is read several times and is therefore cut from its past first.
     """
@@ -35,11 +35,11 @@ def running_sums(
     hot = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows)
     steps = [i / BLOCKS for i in range(1, BLOCKS)]
     cuts = (
-        df.join(F.broadcast(hot.select(group)), group, "left_semi")
+        df.join(hot.select(group), group, "left_semi")
         .groupBy(group)
         .agg(F.percentile_approx(order, F.array(*map(F.lit, steps)), 1000).alias("_cuts"))
     )
-    keyed = df.join(F.broadcast(cuts.withColumnRenamed(group, "_g")), F.col(group) == F.col("_g"), "left").drop("_g")
+    keyed = df.join(cuts.withColumnRenamed(group, "_g"), F.col(group) == F.col("_g"), "left").drop("_g")
     block = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col(order)))
     keyed = keyed.withColumn("_block", block).drop("_cuts")
     inner = Window.partitionBy(group, "_block").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0)
@@ -56,7 +56,7 @@ def running_sums(
         .where("_b > 0")
     )
     joined = local.join(
-        F.broadcast(shifts), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_block") == F.col("_b")), "left"
+        shifts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_block") == F.col("_b")), "left"
     )
     out = joined
     for o in sums.values():

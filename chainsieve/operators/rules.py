@@ -21,12 +21,14 @@ def _best(score: Column, *group: str) -> Window:
 
 
 def top_k(pool: DataFrame, signal: str, k: int = 3, direction: str = "max") -> DataFrame:
-    """The ``k`` best by ``signal``; ``tie``: the value at place k equals the one after it."""
-    w = _best(oriented(F.col(signal), direction))
-    ranked = pool.withColumns({"rn": F.row_number().over(w), "_next": F.lead(signal).over(w)})
-    at_cut = F.max(F.when(F.col("rn") == k, F.coalesce(F.col(signal) == F.col("_next"), F.lit(False))))
-    tie = F.coalesce(at_cut.over(Window.partitionBy("qid")), F.lit(False))
-    return ranked.withColumn("tie", tie).where(F.col("rn") <= k).drop("_next")
+    """The ``k`` best by ``signal``; ``tie``: the value at place k equals the one after it.
+
+    Only ``k + 1`` rows of a group are moved: the rank filter is applied before the shuffle as well.
+    """
+    few = top_k_lean(pool, signal, k + 1, direction)
+    after = F.max(F.when(F.col("rn") == k + 1, F.col(signal))).over(Window.partitionBy("qid"))
+    last = F.max(F.when(F.col("rn") == k, F.col(signal))).over(Window.partitionBy("qid"))
+    return few.withColumn("tie", F.coalesce(last == after, F.lit(False))).where(F.col("rn") <= k)
 
 
 def top_k_lean(pool: DataFrame, signal: str, k: int = 3, direction: str = "max") -> DataFrame:
@@ -72,25 +74,34 @@ def veto_top_k(pool: DataFrame, signal: str, veto: str, share: float = 0.3333333
     return top_k_lean(left.drop("_n", "_worst"), signal, k)
 
 
-def _quota(pool: DataFrame, drawn: Column) -> DataFrame:
-    """Adds ``quota``: how many of the teacher's chains the draw holds."""
-    share = F.sum(F.when(drawn, 1).otherwise(0)).over(Window.partitionBy("qid", "teacher"))
-    return pool.withColumn("quota", share)
+def _within_quota(rows: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Rows whose place ``rn`` among their teacher's is within the number of the teacher's chains that were drawn."""
+    quota = drawn.groupBy(F.col("qid").alias("_q"), F.col("teacher").alias("_t")).agg(F.count(F.lit(1)).alias("quota"))
+    same = (F.col("qid") == F.col("_q")) & F.col("teacher").eqNullSafe(F.col("_t"))
+    return rows.join(quota, same).where(F.col("rn") <= F.col("quota")).drop("_q", "_t")
 
 
 def within_teacher(pool: DataFrame, signal: str, k: int = 3, direction: str = "max") -> DataFrame:
-    """As many chains of each teacher as the first ``k`` by ``pos`` hold, the best by ``signal``."""
+    """As many chains of each teacher as the first ``k`` by ``pos`` hold, the best by ``signal``.
+
+    No teacher can have more than ``k``, so no more of its chains are moved.
+    """
     w = _best(oriented(F.col(signal), direction), "qid", "teacher")
-    quoted = _quota(pool, F.col("pos") <= k)
-    return quoted.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.col("quota"))
+    best = pool.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    return _within_quota(best, random_k(pool, k))
 
 
 def random_at_signal_shares(pool: DataFrame, signal: str, k: int = 3, direction: str = "max") -> DataFrame:
     """As many chains of each teacher as the ``k`` best by ``signal`` hold, the first by ``pos``."""
-    placed = pool.withColumn("_place", F.row_number().over(_best(oriented(F.col(signal), direction))))
-    quoted = _quota(placed, F.col("_place") <= k)
     w = Window.partitionBy("qid", "teacher").orderBy("pos")
-    return quoted.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.col("quota")).drop("_place")
+    first = pool.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    return _within_quota(first, top_k_lean(pool, signal, k, direction).drop("rn"))
+
+
+def _quota(pool: DataFrame, drawn: Column) -> DataFrame:
+    """Adds ``quota``: how many of the teacher's chains the draw holds."""
+    share = F.sum(F.when(drawn, 1).otherwise(0)).over(Window.partitionBy("qid", "teacher"))
+    return pool.withColumn("quota", share)
 
 
 def veto_within_teacher(pool: DataFrame, signal: str, veto: str, share: float = 0.3333333333, k: int = 3) -> DataFrame:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chainsieve.operators.pool import usable_pool
-from chainsieve.operators.ranks import hashed_position, last_per_key, usable
+from chainsieve.operators.ranks import last_per_key, placed_blocks, usable
 from chainsieve.sources.tables import table
 
 K = 3
@@ -50,7 +49,8 @@ def pool(spark: SparkSession, root: str) -> DataFrame:
     """Chains with quality and fit of questions that have at least three of them, in hashed order."""
     lean = chains(spark, root).drop("ts")
     scored = lean.join(fits(spark, root).drop("qid", "model", "ts"), "tid").where(usable_column("grape"))
-    return hashed_position(usable_pool(scored, quality(spark, root), K)).select(*POOL)
+    judged = quality(spark, root).where("qual is not null").drop("qid")
+    return placed_blocks(scored.join(judged, "tid"), K).select(*POOL)
 
 
 def usable_column(name: str):

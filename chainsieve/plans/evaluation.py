@@ -376,18 +376,31 @@ def swaps(spark: SparkSession, root: str) -> DataFrame:
 
 
 def overlaps(spark: SparkSession, root: str) -> DataFrame:
-    rows = pool(spark, root)
-    tagged = {
-        "random": rules.random_k(rows, K),
-        "fit": rules.top_k_lean(rows, "grape", K),
-        "quality": rules.top_k_lean(rows, "qual", K),
-        "veto": rules.veto_top_k(rows, "grape", "qual", k=K),
+    """Of every two selections the share of the first's chains that the second has too.
+
+    One pass over the pool marks each chain for every selection; what is left are sixteen counts.
+    """
+    w = Window.partitionBy("qid")
+    place = lambda *order: F.row_number().over(w.orderBy(*order, "pos"))
+    worst = F.row_number().over(w.orderBy("qual", F.col("pos").desc()))
+    rows = pool(spark, root).withColumns({"_fit": place(F.col("grape").desc()), "_quality": place(F.col("qual").desc()), "_worst": worst})
+    left = F.col("_worst") > rules.veto_count(F.col("n"), K, 0.3333333333)
+    rows = rows.withColumn("_veto", F.row_number().over(w.orderBy(left.cast("int").desc(), F.col("grape").desc(), "pos")))
+    marks = {
+        "random": F.col("pos") <= K,
+        "fit": F.col("_fit") <= K,
+        "quality": F.col("_quality") <= K,
+        "veto": left & (F.col("_veto") <= K),
     }
-    found = None
-    for tag, df in tagged.items():
-        part = df.select(F.lit(tag).alias("tag"), "qid", "tid")
-        found = part if found is None else found.unionByName(part)
-    return stats.overlap_matrix(found).withColumn("percent", _r("percent"))
+    names = list(marks)
+    counts = rows.agg(*[F.count_if(marks[a] & marks[b]).alias(f"{a}_{b}") for a in names for b in names])
+    cells = [
+        F.struct(F.lit(a).alias("tag_a"), F.lit(b).alias("tag_b"), F.col(f"{a}_{b}").alias("n"), F.col(f"{a}_{a}").alias("size"))
+        for a in names
+        for b in names
+    ]
+    found = counts.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("n > 0")
+    return found.select("tag_a", "tag_b", "n", _r(100.0 * F.col("n") / F.col("size")).alias("percent"))
 
 
 def teacher_means(spark: SparkSession, root: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chainsieve.functions import text
 from chainsieve.operators import methods, metrics, ranks, rules, samples, stats
 from chainsieve.plans import selection
+from chainsieve.operators.prefix import running_sums
 from chainsieve.plans.base import K, WITH, chains, fits, generations, pool, quality, questions
 from chainsieve.sources.tables import table
 
@@ -135,11 +136,15 @@ def drift(spark: SparkSession, root: str) -> DataFrame:
 
 
 def top_tenth(spark: SparkSession, root: str) -> DataFrame:
-    """The tenth of all chains with the best rule scores: their judge mean and share of poor ones."""
+    """The tenth of all chains with the best rule scores: their judge mean and share of poor ones.
+
+    Rows are placed in blocks, so they are never all in one task.
+    """
     rows = quality(spark, root).where("rule_score is not null and llm_score is not null")
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    place = F.row_number().over(Window.orderBy(F.col("rule_score").desc(), "tid"))
-    best = rows.select("llm_score", n.alias("n"), place.alias("place")).where(F.col("place") <= F.floor(F.col("n") / 10))
+    keyed = rows.select("tid", "llm_score", (-F.col("rule_score")).alias("down"), F.lit("all").alias("grp"), F.lit(1).alias("one"))
+    placed = running_sums(keyed, "grp", "down", "tid", {"one": "place"})
+    whole = rows.agg(F.floor(F.count(F.lit(1)) / 10).alias("tenth"))
+    best = placed.crossJoin(F.broadcast(whole)).where("place <= tenth")
     poor = (F.col("llm_score") <= 0.5).cast("double")
     return best.agg(F.count(F.lit(1)).alias("n"), _r(F.avg("llm_score")).alias("mean"), _r(F.avg(poor)).alias("poor"))
 
@@ -310,10 +315,12 @@ def schedule(spark: SparkSession, root: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, root: str) -> DataFrame:
-    """Training windows of 32 chains in hashed order, with tokens of each."""
+    """Training windows of 32 chains in hashed order, with tokens of each; chains are placed in blocks."""
     rows = rules.top_k_lean(pool(spark, root), "grape", K).where("n_tokens is not null")
-    place = F.row_number().over(Window.orderBy(samples.hashed("tid"), "tid"))
-    return rows.select(F.floor((place - 1) / 32).alias("window"), "n_tokens").groupBy("window").agg(
+    number = F.conv(F.substring(samples.hashed("tid"), 1, 12), 16, 10).cast("double")
+    keyed = rows.select("tid", "n_tokens", number.alias("h"), F.lit("all").alias("grp"), F.lit(1).alias("one"))
+    placed = running_sums(keyed, "grp", "h", "tid", {"one": "place"})
+    return placed.select(F.floor((F.col("place") - 1) / 32).alias("window"), "n_tokens").groupBy("window").agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("widest")
     )
 

@@ -201,17 +201,19 @@ def distance_summary(spark: SparkSession, root: str) -> DataFrame:
     label = lambda c: rows.select("qid", F.col("pos").alias(c), F.col("label").alias(f"l_{c}"))
     both = d.join(label("i"), ["qid", "i"]).join(label("j"), ["qid", "j"])
     kind = F.when(F.col("l_i") == F.col("l_j"), "same").otherwise("different").alias("kind")
-    at = lambda p: _r(ranks.index_percentile(F.collect_list(F.col("d")), p), 4)
+    # Rounded distances are few values: they are counted, and percentiles found among the counts.
+    counts = both.groupBy(kind, _r("d", 4).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("kind").orderBy("v"))
+    placed = counts.withColumns({"upto": upto, "all": F.sum("c").over(Window.partitionBy("kind"))})
+    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.lit(p) * F.col("all")), F.col("all") - 1), F.col("v")))
+    picks = placed.groupBy("kind").agg(at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"))
     return both.groupBy(kind).agg(
         F.count(F.lit(1)).alias("n"),
         _r(F.min("d"), 4).alias("low"),
-        at(0.25).alias("p25"),
-        at(0.5).alias("p50"),
-        at(0.75).alias("p75"),
         _r(F.max("d"), 4).alias("high"),
         _r(F.avg("d"), 4).alias("mean"),
         _r(F.stddev_pop("d"), 4).alias("sd"),
-    )
+    ).join(picks, "kind")
 
 
 def _objective(a: float, b: float, lam: float, scale: str = "raw"):
