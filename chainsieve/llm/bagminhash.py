@@ -299,7 +299,7 @@ def _free(df: DataFrame) -> None:
     """Lets the driver drop the shuffle files of a pass before the next one writes its own."""
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
-    clock.sleep(1)
+    clock.sleep(0.3)
 
 
 def candidate_links(

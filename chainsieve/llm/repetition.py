@@ -37,92 +37,99 @@ class Passages:
     """Cuts texts into numbered units: words, or characters where there are no spaces."""
 
     def __init__(self) -> None:
+        self.known: dict[str, int] = {}
         self.numbers: dict[str, int] = {}
 
     def _number(self, unit: str) -> int:
-        return self.numbers.setdefault(_DIGITS.sub("0", unit), len(self.numbers) + 1)
+        """The number of a word; words that differ in digits only have the same."""
+        number = self.numbers.setdefault(_DIGITS.sub("0", unit), len(self.numbers) + 1)
+        self.known[unit] = number
+        return number
 
     def units(self, text: str) -> tuple[list[int], list[int], list[bool]]:
-        """Number, first character and 'is a character' of every unit; numbers read alike."""
-        if len(self.numbers) > 1_000_000:
+        """Number, size and 'is a character' of every unit; a word is as large as its characters and a blank."""
+        if len(self.known) > 1_000_000:
+            self.known.clear()
             self.numbers.clear()
         text = text.lower()
-        numbers, starts, single = [], [], []
-        found = list(_UNIT.finditer(text))
+        known, number = self.known, self._number
+        found = _UNIT.findall(text)
+        sizes = list(map(len, found))
         plain = text.isascii() or not _SPACELESS.search(text)
-        if plain and max((u.end() - u.start() for u in found), default=0) < UNSPACED:
-            number = self._number
-            return [number(u.group()) for u in found], [u.start() for u in found], [False] * len(found)
-        for unit in found:
-            at, run = unit.start(), unit.group()
+        if plain and max(sizes, default=0) < UNSPACED:
+            return [known.get(u) or number(u) for u in found], [n + 1 for n in sizes], [False] * len(found)
+        numbers, sizes, single = [], [], []
+        for run in found:
             if len(run) < UNSPACED and (plain or not _SPACELESS.search(run)):
-                numbers.append(self._number(run))
-                starts.append(at)
+                numbers.append(known.get(run) or number(run))
+                sizes.append(len(run) + 1)
                 single.append(False)
                 continue
             last = 0
-            for number in _NUMBER.finditer(run):
-                for k in range(last, number.start()):
-                    numbers.append(-ord(run[k]))
-                    starts.append(at + k)
+            for digits in _NUMBER.finditer(run):
+                numbers += [-ord(c) for c in run[last : digits.start()]]
+                sizes += [1] * (digits.start() - last) + [digits.end() - digits.start()]
                 numbers.append(-ord("0"))
-                starts.append(at + number.start())
-                last = number.end()
-            for k in range(last, len(run)):
-                numbers.append(-ord(run[k]))
-                starts.append(at + k)
+                last = digits.end()
+            numbers += [-ord(c) for c in run[last:]]
+            sizes += [1] * (len(run) - last)
             single += [True] * (len(numbers) - len(single))
-        return numbers, starts, single
+        return numbers, sizes, single
 
 
-def _covered(numbers: np.ndarray, width: int) -> np.ndarray:
-    """Which units lie in a passage of ``width`` units that stands more than once."""
+def _covered(numbers: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
+    """Which units lie in a passage of ``width`` units that stands more than once in their own text."""
     n = len(numbers)
     mark = np.zeros(n, bool)
     if n <= width:
         return mark
-    windows = np.lib.stride_tricks.sliding_window_view(numbers, width)
-    key = np.zeros(n - width + 1, np.uint64)
+    last = n - width + 1
+    key = owner[:last].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
     for k in range(width):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + windows[:, k].astype(np.uint64) + np.uint64(1)
+        key = key * np.uint64(0x9E3779B97F4A7C15) + numbers[k : k + last].astype(np.uint64) + np.uint64(1)
         key ^= key >> np.uint64(29)
-    order = np.argsort(key, kind="stable")
+    whole = np.flatnonzero(owner[:last] == owner[width - 1 :])
+    order = whole[np.argsort(key[whole], kind="stable")]
     same = key[order][1:] == key[order][:-1]
-    twice = np.zeros(len(key), bool)
+    twice = np.zeros(last, bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
-    steps = np.zeros(n + 1, np.int64)
     at = np.flatnonzero(twice)
-    np.add.at(steps, at, 1)
-    np.add.at(steps, at + width, -1)
-    return np.cumsum(steps[:-1]) > 0
+    steps = np.bincount(at, minlength=n + 1) - np.bincount(at + width, minlength=n + 1)
+    return np.cumsum(steps[:n]) > 0
 
 
-def repeated_share(text: str | None, passages: Passages | None = None) -> float:
-    """Share of the text's characters that lie in repeated passages.
+def repeated_shares(texts: list[str | None], passages: Passages | None = None) -> np.ndarray:
+    """Share of each text that lies in passages standing more than once in it.
 
-    Counted from the first unit on; what stands between units belongs to the unit
-    before it.  A single unit between two covered ones counts as covered: a copy may differ
-    now and then in a word.  Null, empty and wordless short texts have share 0.
+    Only units count, what stands between them does not.  A single unit between two
+    covered ones counts as covered: a copy may differ now and then in a word.  Null,
+    empty and wordless texts have share 0.
     """
-    if not text:
-        return 0.0
-    numbers, starts, single = (passages or Passages()).units(text)
-    if not numbers:
-        return 0.0
-    number, char = np.array(numbers, np.int64), np.array(single, bool)
-    size = np.diff(np.array([*starts, len(text)], np.int64)).clip(0)
+    passages = passages or Passages()
+    numbers: list[int] = []
+    sizes: list[int] = []
+    single: list[bool] = []
+    counts = []
+    for text in texts:
+        found = passages.units(text) if text else ((), (), ())
+        for gathered, part in zip((numbers, sizes, single), found):
+            gathered.extend(part)
+        counts.append(len(found[0]))
+    number, size, char = np.array(numbers, np.int64), np.array(sizes, np.int64), np.array(single, bool)
+    owner = np.repeat(np.arange(len(texts)), counts)
     mark = np.zeros(len(number), bool)
-    if char.any():
-        edges = np.flatnonzero(np.diff(char.astype(np.int8))) + 1
-        spans = np.split(np.arange(len(number)), edges)
-        chars = np.concatenate([s for s in spans if char[s[0]]])
-        mark[chars] = _covered(number[chars], PASSAGE_CHARS)
-    word = np.flatnonzero(~char)
-    mark[word] = _covered(number[word], PASSAGE_WORDS)
-    gap = ~mark[1:-1] & mark[:-2] & mark[2:]
-    mark[1:-1] |= gap
-    return float(size[mark].sum() / size.sum())
+    for kind, width in ((char, PASSAGE_CHARS), (~char, PASSAGE_WORDS)):
+        at = np.flatnonzero(kind)
+        mark[at] = _covered(number[at], owner[at], width)
+    mark[1:-1] |= ~mark[1:-1] & mark[:-2] & mark[2:] & (owner[:-2] == owner[2:])
+    total = np.bincount(owner, weights=size, minlength=len(texts))
+    return np.bincount(owner, weights=size * mark, minlength=len(texts)) / np.maximum(total, 1)
+
+
+def repeated_share(text: str | None) -> float:
+    """The same of one text."""
+    return float(repeated_shares([text])[0])
 
 
 #: Rejection bands by script: least block-entropy deficit and greatest characters a token.
@@ -216,7 +223,7 @@ def repetition_profile(df: DataFrame, keys: list[str], text: str, ranks: dict[by
             low = np.where(script == "other", BANDS["other"][0], BANDS["spaced"][0])
             high = np.where(script == "other", BANDS["other"][1], BANDS["spaced"][1])
             rejected = (measure["deficit"] >= low) | (per_token > high)
-            share = [repeated_share(t, passages) for t in texts]
+            share = repeated_shares(texts, passages)
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[: len(keys)],
@@ -228,7 +235,7 @@ def repetition_profile(df: DataFrame, keys: list[str], text: str, ranks: dict[by
                     pa.array(measure["deficit"]),
                     pa.array(script, pa.string()),
                     pa.array(rejected),
-                    pa.array(share, pa.float64()),
+                    pa.array(share),
                 ],
                 names=[*keys, *(c.split()[0] for c in REPEATS.split(", "))],
             )
