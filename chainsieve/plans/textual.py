@@ -36,23 +36,11 @@ def golds(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("qid", F.when(F.col("source") == "math", boxed).otherwise(text.gsm_gold(F.col("solution"))).alias("found"))
 
 
-def marked_golds(spark: SparkSession, root: str) -> DataFrame:
-    rows = chains(spark, root, text=True).where(F.contains("text", F.lit("####")))
-    return rows.select("tid", text.gsm_gold(F.col("text")).alias("gold"))
-
-
 def boxes(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "candidates", "tid", "text").distinct()
     return rows.select("tid", answers.last_boxed_col("text").alias("pred"))
 
 
-def simple_boxes(spark: SparkSession, root: str) -> DataFrame:
-    """Texts whose last box holds no braces: read by the function, checked against a pattern."""
-    rows = table(spark, root, "candidates", "tid", "text").distinct()
-    rows = rows.where(F.col("text").rlike(r"\\boxed\{[^{}\\]+\}[^\\]*$") & ~F.contains("text", F.lit("\\fbox")))
-    return rows.select("tid", answers.last_boxed_col("text").alias("pred"))
-
-
 def graded(spark: SparkSession, root: str) -> DataFrame:
     """Predictions compared with their gold answers; texts first, values on what is left."""
     rows = table(spark, root, "eval", "gen_id", "benchmark", "pred", "gold").distinct()
@@ -382,9 +370,7 @@ def stream_compacted(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "q_f1_norm": normalised,
     "q_f3_gold": golds,
-    "q_f3_marked_gold": marked_golds,
     "q_f4_last_boxed": boxes,
-    "q_f4_plain_boxes": simple_boxes,
     "q_f6_normalize_answer": answer_norm,
     "q_f7_grade": graded,
     "q_f10_tokenize": tokens,
@@ -425,6 +411,23 @@ QUERIES = {
     "q_s14_stream_compacted": stream_compacted,
 }
 
+# The content of a box, braces nested six deep at most.
+_NESTED = r"(?:[^{}\\]|\\[{}]|\\)"
+for _ in range(5):
+    _NESTED = rf"(?:[^{{}}\\]|\\[{{}}]|\\|\{{{_NESTED}*\}})"
+
+
+def _tail(column: str) -> str:
+    """What stands from the last box opened on."""
+    return rf"regexp_extract({column}, '(?s)^.*(\\(?:boxed|fbox).*)$', 1)"
+
+
+def _boxed(column: str) -> str:
+    braced = rf"regexp_extract(tail, '(?s)^\\(?:boxed|fbox) *\{{({_NESTED}*)\}}', 1)"
+    bare = r"regexp_extract(tail, '^\\(?:boxed|fbox) *([^\s$]+)', 1)"
+    return rf"case when {column} is not null then nullif(trim(case when regexp_matches(tail, '^\\(?:boxed|fbox) *\{{') then {braced} else {bare} end), '') end"
+
+
 _V = """with v as (select vec_id // 8 as qid, cast(vec_id % 8 as int) as pos, cast(embedding as double[]) as e, label,
   vec_id * 7919 % 101 / 100.0 as fit, vec_id * 104729 % 97 / 96.0 as qual from embeddings),
 d as (select a.qid, a.pos as i, b.pos as j, a.label as li, b.label as lj,
@@ -463,10 +466,11 @@ _NORM = r"lower(trim(regexp_replace({}, '[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{
 
 SQL = {
     "q_f1_norm": f"select doc_id, md5({_NORM.format('text')}) as digest, length({_NORM.format('text')}) as n from documents",
-    "q_f3_marked_gold": f"""{WITH} select tid, nullif(replace(trim(list_last(string_split(text, '####'))), ',', ''), '') as gold
-      from chains where contains(text, '####')""",
-    "q_f4_plain_boxes": r"""select distinct tid, nullif(trim(regexp_extract(text, '\\boxed\{([^{}\\]+)\}[^\\]*$', 1)), '') as pred from candidates
-      where regexp_matches(text, '\\boxed\{[^{}\\]+\}[^\\]*$') and not contains(text, '\fbox')""",
+    "q_f3_gold": f"""{WITH}, t as (select qid, source, solution, {_tail("solution")} as tail from asked)
+      select qid, case when source = 'math' then {_boxed("solution")}
+        when contains(solution, '####') then nullif(replace(trim(list_last(string_split(solution, '####'))), ',', ''), '') end as found from t""",
+    "q_f4_last_boxed": f"""with t as (select distinct tid, text, {_tail("text")} as tail from candidates)
+      select tid, {_boxed("text")} as pred from t""",
     "q_f10_tokenize": rf"""with r as (select doc_id, case when text is null then null else {_WORDS} end as w from documents)
       select doc_id, cast(len(w) as int) as n_words, cast(len(list_distinct(w)) as int) as n_distinct from r""",
     "q_f11_features": f"{_FEAT} select tid, n_words, {', '.join(f'round({n}, 9) as {n}' for n in text.KEYWORDS)} from f",
