@@ -33,7 +33,8 @@ def test_equals_its_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_has_rows(spark, name):
-    assert QUERIES[name](spark, ROOT).limit(1).count() == 1
+    # The smallest tables have too few generations for a pair of complete runs.
+    assert QUERIES[name](spark, ROOT.replace("sf0.001", "sf0.01")).limit(1).count() == 1
 
 
 @pytest.mark.parametrize("name", [n for n in sorted(QUERIES)[::4] if not n.startswith("q_s")])
