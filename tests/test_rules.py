@@ -146,3 +146,13 @@ def test_running_sums_in_blocks(spark):
         for n, r in enumerate(part, 1):
             assert got[(g, r[1], r[2])] == n
     assert running_sums(df.limit(0), "g", "o", "t", {"one": "upto"}).count() == 0
+
+
+def test_positions_in_blocks_are_those_of_one_window(spark):
+    """A question with a third of all rows, small ones, and some below the least size."""
+    rows = [("hot", f"h{i}") for i in range(700)] + [(f"q{i % 300}", f"t{i}") for i in range(1400)] + [("two", "a"), ("two", "b")]
+    df = spark.createDataFrame(rows, "qid string, tid string")
+    want = {(r.qid, r.tid): (r.pos, r.n) for r in P.with_count(ranks.hashed_position(df), 3).collect()}
+    got = {(r.qid, r.tid): (r.pos, r.n) for r in ranks.placed_blocks(df, 3).collect()}
+    assert got == want and len(got) == 2100
+    assert ranks.placed_blocks(df.limit(0), 3).count() == 0
