@@ -38,7 +38,11 @@ def words(text: Column) -> Column:
 
 def features(text: Column, keywords: dict[str, list[str]] = KEYWORDS) -> dict[str, Column]:
     """Number of words, and the share of each keyword group among them (0 for a wordless text)."""
-    found = words(F.coalesce(text, F.lit("")))
+    return word_features(words(F.coalesce(text, F.lit(""))), keywords)
+
+
+def word_features(found: Column, keywords: dict[str, list[str]] = KEYWORDS) -> dict[str, Column]:
+    """The same from the words of a text."""
     n = F.size(found)
     share = lambda group: F.size(F.filter(found, lambda w: w.isin(group))) / F.nullif(n, F.lit(0))
     return {"n_words": n, **{name: F.coalesce(share(group), F.lit(0.0)) for name, group in keywords.items()}}

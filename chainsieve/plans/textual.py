@@ -73,9 +73,11 @@ def raw_features(spark: SparkSession, root: str) -> DataFrame:
 
 def rule_score(spark: SparkSession, root: str) -> DataFrame:
     """Weighted sum of the features' z-scores over all chains."""
-    rows = table(spark, root, "candidates", "tid", "text").distinct()
-    found = text.features(F.col("text"))
-    flat = rows.select("tid", *[found[c].cast("double").alias(c) for c in _FEATURES])
+    # Words are cut once, and equal rows are dropped by features and a hash, so no text is moved.
+    rows = table(spark, root, "candidates", "tid", "text")
+    rows = rows.select("tid", F.md5("text").alias("_h"), text.words(F.coalesce("text", F.lit(""))).alias("_words"))
+    found = text.word_features(F.col("_words"))
+    flat = rows.select("tid", "_h", *[found[c].cast("double").alias(c) for c in _FEATURES]).distinct()
     scale = flat.agg(*[F.avg(c).alias(f"m_{c}") for c in _FEATURES], *[F.stddev_pop(c).alias(f"s_{c}") for c in _FEATURES])
     names = dict(zip(text.WEIGHTS, _FEATURES))
     z = lambda c: F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}"), F.lit(0.0)), F.lit(0.0))
